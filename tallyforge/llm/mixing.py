@@ -57,19 +57,20 @@ def laid_out(docs: DataFrame, buckets: int = 4096) -> DataFrame:
 
 
 def _prepared(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    placed = materialize(laid_out(sized), "mix-placed")
+    placed = materialize(laid_out(materialize(sized, "mix-sizes")), "mix-placed")  # words are counted once
     sources = placed.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     return placed, materialize(source_targets(sources), "mix-targets")
 
 
-def slots(targets: DataFrame, block: int, shard_slots: int, seed: int, chunk: int = 65536) -> DataFrame:
+def slots(targets: DataFrame, block: int, shard_slots: int, seed: int, chunk: int = 4096) -> DataFrame:
     """(key, pass, block, take, shard): one row a slot, made in chunks so that a large source is no single task's work."""
     n = F.ceil(F.round("target") / block).cast("long")
     t = targets.withColumn("_n", n).filter("_n > 0").withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
     deck = Window.orderBy("key")
     t = t.withColumn("_first", F.sum("_n").over(deck) - F.col("_n")).withColumn("_deck", F.sum("_n").over(Window.partitionBy()))
     chunks = t.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk))))
-    chunks = chunks.repartition("key", "_c")
+    # a fixed number of partitions, which adaptive execution leaves alone: each row becomes `chunk` rows
+    chunks = chunks.repartition(max(8, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "_c")
     one = chunks.withColumn("_t", F.explode(F.sequence(F.col("_c") * chunk, F.least(F.col("_n"), (F.col("_c") + 1) * chunk) - 1)))
     key = F.xxhash64("key", F.lit(seed))
     place = permuted(F.col("_first") + F.col("_t"), F.col("_deck"), F.lit(seed))
@@ -81,7 +82,7 @@ def slots(targets: DataFrame, block: int, shard_slots: int, seed: int, chunk: in
 def taken_pieces(placed: DataFrame, chosen: DataFrame, block: int) -> DataFrame:
     """(key, ordinal, pass, shard, from, words): the words of a document that a slot reads, counted from its first word."""
     parts = placed.filter("size > 0").select("key", "ordinal", "size", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
-    both = parts.join(chosen, ["key", "block"])
+    both = parts.join(chosen.hint("merge"), ["key", "block"])  # its size isn't known to the planner, so never broadcast
     start = F.greatest(F.col("offset"), F.col("block") * block)
     end = F.least(F.col("offset") + F.col("size"), F.col("block") * block + F.col("take"))
     return both.select("key", "ordinal", "pass", "shard", (start - F.col("offset")).alias("from"), (end - start).alias("words")).filter("words > 0")
