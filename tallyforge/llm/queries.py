@@ -5,9 +5,10 @@ from __future__ import annotations
 from .ctw import op2_context_tree
 from .mixing import op9_mix_sources
 from .neardup import op7_superminhash
+from .pii import op5_boosted_pii
 from .quality import op4_adaptive_quality
 from .shards import op1_hash_tree
 from .substrings import op3_suffix_family
 
-QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_context_tree, op3_suffix_family, op4_adaptive_quality, op7_superminhash, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_context_tree, op3_suffix_family, op4_adaptive_quality, op5_boosted_pii, op7_superminhash, op9_mix_sources)}
 ORACLE_SQL: dict[str, str] = {}
