@@ -9,6 +9,7 @@ from .pii import op5_boosted_pii
 from .quality import op4_adaptive_quality
 from .shards import op1_hash_tree
 from .substrings import op3_suffix_family
+from .toxicity import op6_weak_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_context_tree, op3_suffix_family, op4_adaptive_quality, op5_boosted_pii, op7_superminhash, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_context_tree, op3_suffix_family, op4_adaptive_quality, op5_boosted_pii, op6_weak_toxicity, op7_superminhash, op9_mix_sources)}
 ORACLE_SQL: dict[str, str] = {}
