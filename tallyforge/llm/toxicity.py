@@ -102,7 +102,16 @@ def fit(texts: list[str | None], toxic: np.ndarray, max_features: int = 4096, ma
 
     clear = {f: (p, n) for f, (n, p) in count.items() if surprise(p, n) > chance}
     strong = sorted((f for f, (p, n) in clear.items() if p >= 3 * n and p > share * (p + n)), key=lambda f: (-clear[f][0], f))
-    voters = list(dict.fromkeys([*LEXICON, *strong]))[:max_voters]
+    # a pattern that mostly repeats a stronger one (a word and its beginning) isn't another voter
+    bad = [s for s, y in zip(sets, toxic.tolist(), strict=True) if y]
+    voters, held = list(LEXICON), []
+    for f in strong:
+        mine = np.array([f in s for s in bad])
+        if f in LEXICON:
+            held.append(mine)
+        elif len(voters) < max_voters and not any((mine & other).sum() > 0.6 * mine.sum() for other in held):
+            voters.append(f)
+            held.append(mine)
     votes = np.array([[f in s for f in voters] for s in sets], np.float32)
     post, _, _ = label_model(votes, np.clip(votes.sum(1), 0, 1) * 0.9 + 0.02)
     names = list(dict.fromkeys([*voters, *sorted(clear, key=lambda f: (-sum(clear[f]), f))]))[:max_features]
