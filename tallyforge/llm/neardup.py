@@ -5,11 +5,13 @@ permutation of the slots and lets its j-th rank touch one slot with a value in [
 correlated across slots, which lowers the variance below plain MinHash, and an element stops as soon as j is above
 every slot. Equal sets are collapsed to one node first, so copies never meet as pairs.
 
-Bands of rows slots send nodes to buckets. In the first round each bucket links its members to its smallest one only.
+Bands of four slots send nodes to buckets. In the first round each bucket links its members to its smallest one only.
 Verified links are grouped by distributed union-find. Later rounds look only at buckets whose members still lie in
-different groups: blocks of a bucket are compared by signature and size, and pairs are verified until no unverified
-pair of different groups is left that the signature allows; so the groups equal those of all verified links without
-all pairs being made. At similarity 0.8, 21 bands of 3 miss a pair with probability 3e-7.
+different groups: blocks of the members outside a bucket's largest group are compared with blocks of all members by
+signature and size, best first, and a pair is proposed only where the groups aren't joined by better proposals. Rounds
+propose ever more per pair of groups and end when nothing that the signature allows is left unverified between groups;
+so the groups equal those of all verified links without all pairs being made. At similarity 0.8, 28 bands of 4 miss a
+pair with probability 4e-7, and a signature of 128 slots underrates it by 0.15 with probability 1e-5 at most.
 
 Nulls and texts without words: empty set, linked with nothing, kept. A null doc_id is compared as any other value of its
 column (null last). Repeated rows share a set and thus a group. Empty tables give empty results; other columns pass.
@@ -24,8 +26,7 @@ from pyspark.sql import functions as F
 from .common import joined_bytes, materialize, mix64, text_batches, word_hashes
 from .graph import components
 
-BANDS, ROWS = 21, 3
-SLOTS = BANDS * ROWS
+BANDS, ROWS, SLOTS = 28, 4, 128
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -53,7 +54,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def superminhash(elements: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """Signatures (sets x slots, uint32) of sets given as concatenated elements; vectorised over all sets, one rank a pass."""
+    """Signatures (sets x slots, 16 bits each) of sets given as concatenated elements; vectorised over all sets, one rank a pass."""
     sets = len(offsets) - 1
     low = np.full((sets, slots), np.uint32(0xFFFFFFFF))
     owner = np.repeat(np.arange(sets), np.diff(offsets))
@@ -72,7 +73,7 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, slots: int = SLOTS)
             slot = order[rows, pick].astype(np.int64)
             order[rows, pick] = order[:, j]
         np.minimum.at(low.reshape(-1), owner * slots + slot, value)
-        open_sets = low.max(axis=1) >= np.uint32(min(j + 1, 255)) << np.uint32(24)
+        open_sets = low.max(axis=1) >= np.uint32(j + 1) << np.uint32(24)
         stay = open_sets[owner]
         if not stay.any():
             break
@@ -81,7 +82,7 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, slots: int = SLOTS)
         if order is not None:
             order = order[stay]
         elements, owner = elements[stay], owner[stay]
-    return low
+    return (mix64(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def set_fingerprints(elements: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
@@ -142,6 +143,10 @@ def _texts_of(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.th == wanted.th)).groupBy("node").agg(F.max("text").alias("text"))
 
 
+def _sig(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) -> DataFrame:
     """Pairs (a, b) whose signatures and sizes allow the similarity."""
     sig = reps.select("node", "n", "sig")
@@ -154,89 +159,111 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) ->
 
         for batch in batches:
             if batch.num_rows:
-                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SLOTS) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((sa == sb).mean(axis=1) >= percent / 100 - slack))
+                near = (_sig(batch.column("sa")) == _sig(batch.column("sb"))).mean(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(near >= percent / 100 - slack))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary")
 
 
-def _open_pairs(banded: DataFrame, labels: DataFrame, reps: DataFrame, failed: DataFrame | None, percent: int, slack: float, budget: int, block: int = 1024) -> DataFrame:
-    """Unverified pairs (a, b) of different groups from buckets with several groups; at most budget a pair of groups and block.
+def _best_first(x, y, near, comp_x, comp_y, budget: int) -> tuple[list[int], bool]:
+    """Which pairs to propose, best first: up to budget for two groups, none for groups that proposals already join."""
+    up: dict = {}
+
+    def root(c):
+        while up.get(c, c) != c:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    used: dict = {}
+    out, capped = [], False
+    for i in np.lexsort((y, x, -near)).tolist():
+        a, b = root(comp_x[x[i]]), root(comp_y[y[i]])
+        if a == b:
+            capped = True
+            continue
+        name = (min(a, b), max(a, b))
+        used[name] = used.get(name, 0) + 1
+        out.append(i)
+        if used[name] >= budget:
+            up[a] = b
+    return out, capped
 
-    A bucket is cut into blocks; each pair of blocks is one group of rows, so no task holds a whole bucket.
+
+def _proposed(rows: DataFrame, reps: DataFrame, percent: int, slack: float, budget: int, block: int) -> DataFrame:
+    """rows(key, band, node, component, main, outer, members) of open buckets -> pairs (a, b); (null, null): some were put off.
+
+    Members outside a bucket's main group, in blocks, meet all its members, in blocks; no task holds a whole bucket.
     """
-    named = banded.join(labels, "node", "left") if labels is not None else banded.withColumn("component", F.col("node"))
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_s")).filter("_lo <> _hi")
-    rows = named.join(mixed.select("key", F.ceil(F.col("_s") / block).cast("int").alias("_blocks")), "key")
-    mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    rows = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("key", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), "_mine", "node", "component").join(reps.select("node", "n", "sig"), "node")
-    empty = "key long, i int, j int, a binary, b binary"
-    bad = failed if failed is not None else banded.sparkSession.createDataFrame([], empty)
-
-    def work(key, left, right):
+    full = rows.join(reps.select("node", "n", "sig"), "node").withColumns({"_i": F.ceil(F.col("outer") / block).cast("int"), "_j": F.ceil(F.col("members") / block).cast("int")})
+    kept = ["key", "band", "node", "component", "n", "sig"]
+    spot = F.xxhash64("node", "key")
+    left = full.filter("component <> main").select(*kept, F.lit(0).alias("side"), F.pmod(spot, F.col("_i")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"))
+    right = full.select(*kept, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("i"), F.pmod(spot, F.col("_j")).cast("int").alias("j"))
+
+    def work(key, table):
         import pyarrow as pa
 
-        done = set(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True))
-        nodes, comps, mine = (left.column(c).to_pylist() for c in ("node", "component", "_mine"))
-        n = left.column("n").to_numpy()
-        i, j = key[1].as_py(), key[2].as_py()
-        sig = np.frombuffer(b"".join(left.column("sig").to_pylist()), np.uint32).reshape(-1, SLOTS)
-        code = np.unique(np.array(comps, dtype=object), return_inverse=True)[1] if comps else np.zeros(0, int)
-        used: dict = {}
-        out: list[tuple] = []
-        for x in range(len(nodes)):
-            near = (sig[x] == sig[x + 1 :]).mean(axis=1)
-            fits = (near >= percent / 100 - slack) & (code[x + 1 :] != code[x]) & (100 * np.minimum(n[x], n[x + 1 :]) >= percent * np.maximum(n[x], n[x + 1 :]))
-            for y in np.flatnonzero(fits) + x + 1:
-                if i != j and mine[x] == mine[y]:
-                    continue  # another pair of blocks has it
-                pair = (min(nodes[x], nodes[y]), max(nodes[x], nodes[y]))
-                groups = (min(code[x], code[y]), max(code[x], code[y]))
-                if pair not in done and used.get(groups, 0) < budget:
-                    used[groups] = used.get(groups, 0) + 1
-                    out.append(pair)
-        k = len(out)
-        return pa.table([pa.array([key[0].as_py()] * k, pa.int64()), pa.array([i] * k, pa.int32()), pa.array([j] * k, pa.int32()), pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["key", "i", "j", "a", "b"])
-
-    return rows.groupBy("key", "i", "j").cogroup(bad.groupBy("key", "i", "j")).applyInArrow(work, empty)
-
-
-def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.25, salts: int = 16) -> DataFrame:
+        side = table.column("side").to_numpy()
+        nodes = np.array(table.column("node").to_pylist(), dtype=object)
+        comps = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
+        n, sig = table.column("n").to_numpy(), _sig(table.column("sig"))
+        band = table.column("band")[0].as_py()
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        outer = set(nodes[l].tolist())
+        xs, ys, ns = [], [], []
+        for p in l:
+            near = (sig[p] == sig[r]).mean(axis=1)
+            fits = (near >= percent / 100 - slack) & (comps[r] != comps[p]) & (100 * np.minimum(n[p], n[r]) >= percent * np.maximum(n[p], n[r]))
+            for q in np.flatnonzero(fits):
+                earlier = (sig[p][: band * ROWS] == sig[r[q]][: band * ROWS]).reshape(-1, ROWS).all(axis=1).any()
+                if not earlier and not (nodes[r[q]] in outer and nodes[r[q]] < nodes[p]):  # each pair in one bucket, once
+                    xs.append(p)
+                    ys.append(r[q])
+                    ns.append(near[q])
+        pick, capped = _best_first(xs, ys, np.array(ns), comps, comps, budget) if xs else ([], False)
+        pairs = [(min(nodes[xs[i]], nodes[ys[i]]), max(nodes[xs[i]], nodes[ys[i]])) for i in pick] + [(None, None)] * capped
+        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary")
+
+
+def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.15, salts: int = 16, block: int = 1024) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, th, n_shingles, component_id), one row per row of docs; th is the text's xxhash64."""
     base = materialize(signatures(docs, k), "near-signatures")
     reps = base.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th", "n", "sig")).alias("r"))
     reps = materialize(reps.select("node", "r.*"), "near-nodes")
-    keys = F.array(*[F.xxhash64(F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS), F.lit(i)) for i in range(BANDS)])
-    banded = reps.select("node", "n", F.explode(keys).alias("key"))
+    width = 2 * ROWS
+    keys = F.array(*[F.xxhash64(F.substring("sig", width * i + 1, width), F.lit(i)) for i in range(BANDS)])
+    banded = reps.select("node", "n", F.posexplode(keys).alias("band", "key"))
     heads = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).filter("head.node <> last")
-    star = banded.join(heads, "key").filter((F.col("node") != F.col("head.node")) & (100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")))
+    buckets = materialize(banded.join(heads.select("key", "head"), "key").select("key", "band", "node", "n", "head"), "near-buckets")
+    star = buckets.filter((F.col("node") != F.col("head.node")) & (100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")))
     pairs = materialize(_agreeing(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), reps, percent, slack), "near-pairs")
-    failed, budget, labels, opened = None, 4, None, False
+    texts = materialize(_texts_of(buckets.select("node").distinct(), docs, reps), "near-texts")
+    tried, labels, budget, fresh = pairs, None, 1, pairs
+    rows = buckets.select("key", "band", "node")
     while True:
-        if not pairs.isEmpty():
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            texts = materialize(_texts_of(nodes, docs, reps), "near-texts")
-            checked = materialize(_verified(pairs.select("a", "b").distinct(), texts, k, percent), "near-links")
-            good, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
+        if not fresh.isEmpty():
+            checked = materialize(_verified(fresh, texts, k, percent), "near-links")
+            good = checked.filter("ok").select("a", "b")
             if labels is None:
                 labels = materialize(components(good), "near-labels")
-            elif not good.isEmpty():
-                # groups found so far stand for their links, so that edges don't pile up
+            elif not good.isEmpty():  # groups found so far stand for their links, so that edges don't pile up
                 labels = materialize(components(good.union(labels.select("node", "component"))), "near-labels")
-            if opened:  # what a block has proposed and failed isn't proposed by it again
-                lost = pairs.join(bad, ["a", "b"], "left_semi").select("key", "i", "j", "a", "b")
-                failed = materialize(lost if failed is None else failed.unionByName(lost), "near-failed")
-        elif opened:
+        named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")) if labels is not None else rows.withColumn("component", F.col("node"))
+        sizes = named.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("members"), F.count("*").alias("groups"))
+        opened = sizes.filter("groups > 1").select("key", F.col("m.component").alias("main"), (F.col("members") - F.col("m.c")).alias("outer"), "members")
+        open_rows = materialize(named.join(opened, "key"), "near-open")
+        rows = open_rows.select("key", "band", "node")
+        proposed = materialize(_proposed(open_rows, reps, percent, slack, budget, block).distinct(), "near-proposed")
+        fresh = materialize(proposed.filter("a is not null").join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        if fresh.isEmpty() and proposed.filter("a is null").isEmpty():
             break
-        pairs = materialize(_open_pairs(banded.select("node", "key"), labels, reps, failed, percent, slack, budget), "near-pairs")
-        opened, budget = True, budget * 8
+        tried = tried.union(fresh)
+        budget *= 8
     named = reps.select("node", "doc_id")
-    if labels is not None:
-        named = named.join(labels, "node", "left")
-    else:
-        named = named.withColumn("component", F.col("node"))
+    named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("binary"))
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
