@@ -8,12 +8,14 @@ later has all its windows repeated and leaves the index - and added as a level;
 are logarithmically many. Families run twice: per task, and per bucket of anchors over the tasks' surviving entries,
 so that a passage copied a million times leaves one entry a task.
 
-Where an anchor survives with several different runs, matches begin or end inside a run. The windows of those runs
-alone are compared one by one, by window fingerprints, in the same way: first per chunk of documents, then per bucket.
-
-Strings are judged on the input. Order of starts is (doc_id, text hash, byte); a null doc_id comes first, and rows that
-repeat in full are one document. Null and empty texts have no bytes. Fingerprints are 64 bits of the window or run
-beside 64 bits of the anchor. Empty tables give empty results.
+Where an anchor survives with different runs, matches may begin or end inside a run. A window reaches at least 34 bytes
+beyond its anchor on one side, so only runs that share those 66 bytes with another run can share a window; each entry
+carries a fingerprint of either side for that. The windows of such runs alone are compared one by one, by window
+fingerprints, in the same way: first per chunk of documents, then per bucket.
+
+Strings are judged on the input. Order of starts is (doc_id, text hash where ids repeat, byte); a null doc_id comes
+first, and rows that repeat in full are one document. Null and empty texts have no bytes. Runs and windows are told
+apart by 96 to 128 bits of fingerprints. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from .common import BYTE64, materialize, mix64, text_batches
 GRAM = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_FIELDS = ("key", "anchor", "doc", "th", "chunk", "start", "run")
-_TYPES = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8)
+_FIELDS = ("key", "left", "right", "doc", "th", "start", "run")
+_TYPES = (np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32, np.uint8)
+_NO_ID = -(2**63)
 
 
 class RangeHash:
@@ -126,15 +129,15 @@ class Family:
     def add(self, batch: Entries) -> None:
         if not len(batch):
             return
-        batch = batch.take(np.lexsort((batch.start, batch.th, batch.doc, batch.anchor, batch.key)))
-        new = np.concatenate(([True], (batch.key[1:] != batch.key[:-1]) | (batch.anchor[1:] != batch.anchor[:-1])))
+        batch = batch.take(np.lexsort((batch.start, batch.th, batch.doc, batch.key)))
+        new = np.concatenate(([True], batch.key[1:] != batch.key[:-1]))
         head = batch.take(np.maximum.accumulate(np.where(new, np.arange(len(batch)), 0)))
         self.gone.append(batch.take(~new & ~_same_place(batch, head)))
         batch = batch.take(new)
         for i, level in enumerate(self.levels):
             at = np.minimum(np.searchsorted(level.key, batch.key), len(level) - 1)
             twin = level.take(at)
-            equal = (twin.key == batch.key) & (twin.anchor == batch.anchor)
+            equal = (twin.key == batch.key) & (twin.left == batch.left) & (twin.right == batch.right)
             here = equal & _earlier(batch, twin)
             self.gone.append(batch.take(equal & _earlier(twin, batch)))
             if here.any():  # the level's entry starts later: it goes, and the batch's takes its place
@@ -180,7 +183,7 @@ def _bytes_of(table):
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
     starts = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=starts[1:])
-    docs = table.column("doc_id").fill_null(-(2**63)).to_numpy()
+    docs = table.column("doc_id").fill_null(_NO_ID).to_numpy()
     return parts, np.frombuffer(b"".join(parts), np.uint8), starts, docs, table.column("th").to_numpy()
 
 
@@ -188,22 +191,34 @@ PACKED = "at int, kind int, data binary"
 GONE, EDGE = 0, 1
 
 
-def indexed(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """docs(doc_id, th, chunk, text) -> (at: chunk, kind, data): runs that are repeated, and runs whose windows must be compared."""
+def _shares(side: np.ndarray) -> np.ndarray:
+    """Which nonzero values occur more than once."""
+    order = np.argsort(side, kind="stable")
+    v = side[order]
+    same = np.concatenate(([False], (v[1:] == v[:-1]) & (v[1:] != 0), [False]))
+    out = np.zeros(len(side), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
+def indexed(docs: DataFrame, length: int, buckets: int, chunks: int) -> DataFrame:
+    """docs(doc_id, th, text) -> (at: chunk, kind, data): runs that are repeated, and runs whose windows must be compared."""
+    reach = (length - GRAM) // 2  # a window goes so far beyond its anchor on one side at least
 
     def batch(batches):
         family = Family()
-        for table in text_batches(batches, 2_000_000):
+        for table in text_batches(batches, 1_000_000):
             _, data, starts, doc, th = _bytes_of(table)
             text, first, last, anchor, h, ranges = window_runs(data, starts, length)
-            key = mix64(ranges(first, last + length) + (anchor - first).astype(np.uint64) * _P + h)
-            chunk = table.column("chunk").to_numpy()
-            family.add(Entries(key, h, doc[text], th[text], chunk[text], first - starts[text], last - first))
-        gone = family.removed()
-        spread = (mix64(gone.key) % np.uint64(buckets)).astype(np.int64)  # any bucket will do for these
-        yield from _rows((b, GONE, e) for b, e in _split(gone, spread)).to_batches()
-        kept = family.survivors()
-        yield from _rows((b, EDGE, e) for b, e in _split(kept, (kept.anchor % np.uint64(buckets)).astype(np.int64))).to_batches()
+            # the place of the anchor picks the bucket, in the top bits of the key
+            body = mix64(ranges(first, last + length) + (anchor - first).astype(np.uint64) * _P + h)
+            key = (mix64(h) & np.uint64(0xFFFFFF0000000000)) | (body & np.uint64(0xFFFFFFFFFF))
+            side = lambda ok, a, b: np.where(ok, (ranges(np.where(ok, a, 0), np.where(ok, b, 0)) >> np.uint64(32)) | np.uint64(1), 0)  # noqa: E731, B023
+            left = side(anchor - first >= reach, anchor - reach, anchor + GRAM)
+            right = side(anchor - last <= reach, anchor, anchor + GRAM + reach)
+            family.add(Entries(key, left, right, doc[text], th[text], first - starts[text], last - first))
+        for kind, e in ((GONE, family.removed()), (EDGE, family.survivors())):
+            yield from _rows((b, kind, x) for b, x in _split(e, _bucket(e.key, buckets))).to_batches()
 
     def merged(table):
         family = Family()
@@ -213,14 +228,15 @@ def indexed(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 family.gone.append(entries)
             else:
                 family.add(entries)
-        kept = family.survivors()
-        order = np.argsort(kept.anchor, kind="stable")
-        a = kept.anchor[order]
-        same = a[1:] == a[:-1]
-        edge = kept.take(order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(a) else order)
-        return _rows([(c, GONE, e) for c, e in _split(family.removed(), family.removed().chunk)] + [(c, EDGE, e) for c, e in _split(edge, edge.chunk)])
+        kept, gone = family.survivors(), family.removed()
+        edge = kept.take(_shares(kept.left) | _shares(kept.right))
+        return _rows([(c, GONE, e) for c, e in _split(gone, gone.doc % chunks)] + [(c, EDGE, e) for c, e in _split(edge, edge.doc % chunks)])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(batch, PACKED).groupBy("at").applyInArrow(merged, PACKED)
+
 
-    return docs.select("doc_id", "th", "chunk", "text").mapInArrow(batch, PACKED).groupBy("at").applyInArrow(merged, PACKED)
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _finished(part: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str]:
@@ -248,22 +264,34 @@ def compared(docs: DataFrame, found: DataFrame, length: int, buckets: int) -> Da
     def work(key, left, right):
         import pyarrow as pa
 
-        parts, data, starts, doc, th = _bytes_of(left)
+        parts, _, _, doc, th = _bytes_of(left)
         packs = [(k, Entries.unpack(x)) for k, x in zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True)]
         gone, edge = (Entries.concat([e for k, e in packs if k == kind]) for kind in (GONE, EDGE))
-        # the windows of edge runs, one entry each
+        # the windows of edge runs, one entry each; a part of the documents at a time
         row = {}
         for i, name in enumerate(zip(doc.tolist(), th.tolist(), strict=True)):
             row.setdefault(name, i)
-        at = np.array([row[x] for x in zip(edge.doc.tolist(), edge.th.tolist(), strict=True)], np.int64)
-        count = edge.run.astype(np.int64) + 1
-        base = np.repeat(np.arange(len(edge)), count)
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = edge.start[base] + step
-        whole = starts[at[base]] + place if len(base) else place
-        hashes = RangeHash(data)(whole, whole + length)
-        family = Family()
-        family.add(Entries(hashes, edge.anchor[base], edge.doc[base], edge.th[base], edge.chunk[base], place, np.zeros(len(base))))
+        owner = np.array([row[x] for x in zip(edge.doc.tolist(), edge.th.tolist(), strict=True)], np.int64)
+        order = np.argsort(owner, kind="stable")
+        edge, owner = edge.take(order), owner[order]
+        family, low = Family(), 0
+        while low < len(edge):
+            high, names, size = low, [], 0
+            while high < len(edge) and (not names or size < 1_000_000):
+                names.append(owner[high])
+                size += len(parts[owner[high]])
+                high = int(np.searchsorted(owner, owner[high], side="right"))
+            data = np.frombuffer(b"".join(parts[i] for i in names), np.uint8)
+            begin = np.concatenate(([0], np.cumsum([len(parts[i]) for i in names])))
+            e = edge.take(slice(low, high))
+            count = e.run.astype(np.int64) + 1
+            base = np.repeat(np.arange(len(e)), count)
+            place = e.start[base] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            whole = begin[np.searchsorted(names, owner[low:high])][base] + place
+            ranges = RangeHash(data)
+            hashes, half = ranges(whole, whole + length), ranges(whole, whole + length // 2) >> np.uint64(32)
+            family.add(Entries(hashes, half, np.zeros(len(base)), e.doc[base], e.th[base], place, np.zeros(len(base))))
+            low = high
         more = Entries.concat([gone, family.removed()])
         ranges = _by_document(more, length)
         pending = set(zip(edge.doc.tolist(), edge.th.tolist(), strict=True))
@@ -298,14 +326,15 @@ def _by_document(entries: Entries, length: int) -> dict:
     return {(int(e.doc[a]), int(e.th[a])): (start[a:b], end[a:b]) for a, b in zip(cut, [*cut[1:], len(e)], strict=False)}
 
 
-def repeated_strings(docs: DataFrame, length: int = 100, chunk_bytes: int = 8_000_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 100, chunk_bytes: int = 4_000_000) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per row of docs."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     buckets = max(4, chunks)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(chunks)).cast("int"))
-    stage = materialize(compared(rows, indexed(rows, length, buckets), length, buckets), "strings-stage")
+    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("th"))
+    rows = rows.withColumn("chunk", F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)), F.lit(chunks).cast("long")).cast("int"))
+    stage = materialize(compared(rows, indexed(rows, length, buckets, chunks), length, buckets), "strings-stage")
     done = stage.filter("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
     def windows(table):
@@ -313,7 +342,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, chunk_bytes: int = 8_00
         for data in table.column("data").to_pylist():
             family.add(Entries.unpack(data))
         gone = family.removed()
-        return _rows((c, GONE, e) for c, e in _split(gone, gone.chunk))
+        return _rows((c, GONE, e) for c, e in _split(gone, gone.doc % chunks))
 
     late = stage.filter("at is not null").select("at", "data").groupBy("at").applyInArrow(windows, PACKED)
 
