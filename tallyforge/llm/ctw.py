@@ -1,6 +1,6 @@
 """Scoring texts by context-tree weighting over bytes.
 
-A byte is decomposed into eight binary decisions; every decision has a context tree over the previous bytes. A node
+The byte values seen in training and one symbol for all others are decomposed into binary decisions; every decision has a context tree over the previous bytes. A node
 holds a Krichevsky-Trofimov estimate of its zeros and ones. The weighted probability of a node is the mean of its own
 estimate and the product of its children's, so all depths are mixed, with one weight a node: the share of its own
 estimate in its weighted probability. A child context is split off where it holds at least min_share of all training
@@ -129,16 +129,18 @@ def _summed(grams: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return g[new], np.add.reduceat(n, new)
 
 
-#: For each byte value the tree node (1 to 255) at each of its eight bits, and the bits.
-_NODE = np.array([[(1 << i) | (x >> (8 - i)) for i in range(8)] for x in range(256)])
-_BIT = np.array([[(x >> (7 - i)) & 1 for i in range(8)] for x in range(256)])
+def _codes(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol the tree node at each of its binary decisions, and the decisions."""
+    bits = symbols.bit_length() - 1
+    node = np.array([[(1 << i) | (x >> (bits - i)) for i in range(bits)] for x in range(symbols)])
+    return node, np.array([[(x >> (bits - 1 - i)) & 1 for i in range(bits)] for x in range(symbols)])
 
 
 def bit_counts(hist: np.ndarray) -> np.ndarray:
-    """(..., 256) byte counts -> (..., 256, 2): zeros and ones of each binary node (index 0 unused)."""
+    """(..., S) symbol counts, S a power of two -> (..., S, 2): zeros and ones of each binary node (index 0 unused)."""
     out = np.zeros((*hist.shape, 2))
     level = hist
-    for i in range(7, -1, -1):
+    for i in range(hist.shape[-1].bit_length() - 2, -1, -1):
         pairs = level.reshape(*hist.shape[:-1], 1 << i, 2)
         out[..., 1 << i : 2 << i, :] = pairs
         level = pairs.sum(-1)
@@ -162,15 +164,34 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
 
 
-def _byte_log10(p_one: np.ndarray) -> np.ndarray:
-    """(..., 256) P(one) of binary nodes -> (..., 256) log10 P(byte)."""
+def _log10(p_one: np.ndarray) -> np.ndarray:
+    """(..., S) P(one) of binary nodes -> (..., S) log10 P(symbol)."""
+    node, bit = _codes(p_one.shape[-1])
     one, zero = np.log10(p_one), np.log10(1 - p_one)
     out = np.zeros(p_one.shape)
-    for i in range(8):
-        out += np.where(_BIT[:, i] == 1, one[..., _NODE[:, i]], zero[..., _NODE[:, i]])
+    for i in range(node.shape[1]):
+        out += np.where(bit[:, i] == 1, one[..., node[:, i]], zero[..., node[:, i]])
     return out
 
 
+class Alphabet:
+    """Symbols: the byte values seen in training, ascending, and one for all others, which share its probability."""
+
+    def __init__(self, seen: np.ndarray):
+        self.bytes = np.flatnonzero(seen)
+        self.width = len(self.bytes) + (len(self.bytes) < 256)
+        self.size = max(2, 1 << (self.width - 1).bit_length())  # a power of two for the binary decisions
+        self.of = np.full(256, len(self.bytes) if len(self.bytes) < 256 else 0)
+        self.of[self.bytes] = np.arange(len(self.bytes))
+
+    def rows(self, p_one: np.ndarray) -> np.ndarray:
+        """float32 log10 P of a byte by its symbol."""
+        out = _log10(p_one)[..., : self.width]
+        if len(self.bytes) < 256:
+            out[..., -1] -= np.log10(256 - len(self.bytes))
+        return out.astype(np.float32)
+
+
 def _kt_of(counts: np.ndarray) -> np.ndarray:
     """ln KT of binary nodes (..., 256, 2); 0 where nothing was counted."""
     zeros, ones = counts[..., 0], counts[..., 1]
@@ -186,7 +207,7 @@ def _estimate(counts: np.ndarray) -> np.ndarray:
 
 
 def _by_parts(f, x: np.ndarray, part: int = 2048) -> np.ndarray:
-    return np.concatenate([f(x[i : i + part]) for i in range(0, len(x), part)]) if len(x) else np.zeros((0, 256))
+    return np.concatenate([f(x[i : i + part]) for i in range(0, len(x), part)]) if len(x) else x.astype(float)
 
 
 def _kt_rows(hist: np.ndarray) -> np.ndarray:
@@ -212,10 +233,10 @@ class _Level:
         return both
 
 
-def _levels(keys: np.ndarray, counts: np.ndarray, least: float) -> list[_Level]:
+def _levels(keys: np.ndarray, counts: np.ndarray, least: float, alphabet: Alphabet) -> list[_Level]:
     """Depth 2 to DEPTH of the contexts of a bucket (keys ascending) that hold at least `least` bytes."""
     out: list[_Level] = []
-    byte = (keys & np.uint64(255)).astype(np.int64)
+    symbol = alphabet.of[(keys & np.uint64(255)).astype(np.int64)]
     for k in range(2, DEPTH + 1):
         prefix = keys >> np.uint64(64 - 8 * k)
         start = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -229,11 +250,11 @@ def _levels(keys: np.ndarray, counts: np.ndarray, least: float) -> list[_Level]:
             keep &= inside
         names = names[keep]
         parent = place[keep] if out else np.zeros(len(names), np.int64)
-        hist = np.zeros((len(names), 256))
+        hist = np.zeros((len(names), alphabet.size))
         if len(names):
             at = np.minimum(np.searchsorted(names, prefix), len(names) - 1)
             here = names[at] == prefix
-            np.add.at(hist, (at[here], byte[here]), counts[here])
+            np.add.at(hist, (at[here], symbol[here]), counts[here])
         out.append(_Level(names, parent, hist))
     return out
 
@@ -258,25 +279,36 @@ class ContextTree:
         total = self.grams.agg(F.sum("n")).first()[0] or 0
         self.least = least = max(2.0, total * min_share)
 
+        def used(key, table):
+            import pyarrow as pa
+
+            keys, counts = _unpack(table)
+            return pa.table([[np.bincount((keys & np.uint64(255)).astype(np.int64), counts, 256).tobytes()]], names=["seen"])
+
+        # one row of 256 numbers for each of the fixed number of buckets
+        parts = self.grams.groupBy("bucket").applyInArrow(used, "seen binary").collect()
+        self.alphabet = alphabet = Alphabet(sum((np.frombuffer(r["seen"]) for r in parts), np.zeros(256)))
+        size = alphabet.size
+
         def subtree(key, table):
             import pyarrow as pa
 
             keys, counts = _unpack(table)
-            levels = _levels(keys, counts, least)
+            levels = _levels(keys, counts, least, alphabet)
             ln = _bottom_up(levels)
             one = (levels[0].names >> np.uint64(8)).astype(np.int64)
-            below, split, everything = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256))
+            below, split, everything = (np.zeros((256, size)) for _ in range(3))
             np.add.at(below, one, ln)
             np.add.at(split, one, levels[0].hist)
-            np.add.at(everything, ((keys >> np.uint64(56)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)), counts)
+            np.add.at(everything, ((keys >> np.uint64(56)).astype(np.int64), alphabet.of[(keys & np.uint64(255)).astype(np.int64)]), counts)
             return pa.table([[below.tobytes()], [split.tobytes()], [everything.tobytes()]], names=["below", "split", "everything"])
 
-        # one row of three 256 x 256 arrays for each of the fixed number of buckets
+        # one row of three arrays of at most 256 x 256 for each of the fixed number of buckets
         parts = self.grams.groupBy("bucket").applyInArrow(subtree, "below binary, split binary, everything binary")
-        below, split, everything = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256))
+        below, split, everything = (np.zeros((256, size)) for _ in range(3))
         for r in parts.toLocalIterator():
             for into, x in zip((below, split, everything), (r["below"], r["split"], r["everything"]), strict=True):
-                into += np.frombuffer(x).reshape(256, 256)
+                into += np.frombuffer(x).reshape(256, size)
         keep = np.flatnonzero(everything.sum(1) >= least)
         one = _Level(keep, np.zeros(len(keep), np.int64), everything[keep])
         one.below, one.rest, one.inner = below[keep], everything[keep] - split[keep], split[keep].sum(1) > 0
@@ -285,24 +317,22 @@ class ContextTree:
         # what depth 0 and 1 give to every deeper estimate: P = a + b * deeper
         a0 = zero.weight[0] * _estimate(bit_counts(zero.hist[0]))
         b0 = 1 - zero.weight[0]
-        self.root = _byte_log10(a0 + b0 * _estimate(bit_counts(zero.rest[0])))
+        self.root = alphabet.rows(a0 + b0 * _estimate(bit_counts(zero.rest[0])))
         self.ones = keep
         a1 = a0 + b0 * one.weight * _by_parts(lambda h: _estimate(bit_counts(h)), one.hist)
         b1 = b0 * (1 - one.weight)
-        self.one_rows = _byte_log10(a1 + b1 * _by_parts(lambda h: _estimate(bit_counts(h)), one.rest)) if len(keep) else np.zeros((0, 256))
+        self.one_rows = alphabet.rows(a1 + b1 * _by_parts(lambda h: _estimate(bit_counts(h)), one.rest))
         self.a, self.b = np.tile(a0, (256, 1)), np.tile(b0, (256, 1))
         self.a[keep], self.b[keep] = a1, b1
 
     def rows(self) -> DataFrame:
         """(bucket, depth, name, row) of the contexts of depth two and more."""
-        least, a1, b1 = self.least, self.a, self.b
-        kept = np.zeros(256, bool)
-        kept[self.ones] = True
+        least, a1, b1, alphabet = self.least, self.a, self.b, self.alphabet
 
         def work(key, table):
             import pyarrow as pa
 
-            levels = _levels(*_unpack(table), least)
+            levels = _levels(*_unpack(table), least, alphabet)
             _bottom_up(levels)
             depth, names, rows = [], [], []
             a = b = None
@@ -317,21 +347,21 @@ class ContextTree:
                 p = a + b * _by_parts(lambda h: _estimate(bit_counts(h)), level.rest)
                 depth += [k] * len(p)
                 names.append(level.names.astype(np.int64))
-                rows += [x.tobytes() for i in range(0, len(p), 2048) for x in _byte_log10(p[i : i + 2048]).astype(np.float32)]
+                rows += [x.tobytes() for i in range(0, len(p), 2048) for x in alphabet.rows(p[i : i + 2048])]
             return pa.table([pa.array([key[0].as_py()] * len(depth), pa.int32()), pa.array(depth, pa.int32()), pa.array(np.concatenate(names), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "depth", "name", "row"])
 
         return self.grams.groupBy("bucket").applyInArrow(work, "bucket int, depth int, name long, row binary")
 
     def blocks(self, block_contexts: int = BLOCK_CONTEXTS):
         """(depths, names, float32 rows) of at most about block_contexts contexts at a time; the root and depth one first."""
-        yield np.array([0] + [1] * len(self.ones)), np.concatenate(([0], self.ones)), np.concatenate((self.root[None], self.one_rows)).astype(np.float32)
+        yield np.array([0] + [1] * len(self.ones)), np.concatenate(([0], self.ones)), np.concatenate((self.root[None], self.one_rows))
         table = materialize(self.rows(), "ctw-rows")
         sizes = table.groupBy("bucket").count().orderBy("bucket").collect()  # one row for each of the fixed number of buckets
         group, held = [], 0
         for r in [*sizes, None]:
             if group and (r is None or held + r["count"] > block_contexts):
                 got = table.filter(F.col("bucket").isin(group)).select("depth", "name", "row").toArrow()
-                yield got.column("depth").to_numpy(), got.column("name").to_numpy(), np.frombuffer(b"".join(got.column("row").to_pylist()), np.float32).reshape(-1, 256)
+                yield got.column("depth").to_numpy(), got.column("name").to_numpy(), np.frombuffer(b"".join(got.column("row").to_pylist()), np.float32).reshape(-1, self.alphabet.width)
                 group, held = [], 0
             if r is not None:
                 group.append(r["bucket"])
@@ -408,7 +438,9 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
     """docs(doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     context = docs.sparkSession.sparkContext
     depths, names, firsts, tree_blocks = [], [], [0], []
-    for d, x, rows in ContextTree(gram_counts(train)).blocks(block_contexts):
+    tree = ContextTree(gram_counts(train))
+    symbols, wide = tree.alphabet.of, tree.alphabet.width
+    for d, x, rows in tree.blocks(block_contexts):
         depths.append(d)
         names.append(x)
         firsts.append(firsts[-1] + len(x))
@@ -447,11 +479,11 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
             texts = table.column("text")
             data, starts = _stream(texts)
             grams = _grams(data)
-            at, byte = finder(grams), (grams & np.uint64(255)).astype(np.int64)
+            at, byte = finder(grams), symbols[(grams & np.uint64(255)).astype(np.int64)]
             score = np.zeros(len(grams))
             for first, stop, b in zip(firsts, firsts[1:], tree_blocks, strict=False):
                 here = np.flatnonzero((at >= first) & (at < stop))
-                score[here] = loaded(b)[(at[here].astype(np.int64) - first) * 256 + byte[here]]
+                score[here] = loaded(b)[(at[here].astype(np.int64) - first) * wide + byte[here]]
             score[~_positions(starts)] = 0
             by_text = np.add.reduceat(score, starts[:-1])
             hashes, _, first = word_hashes(*joined_bytes(texts))
