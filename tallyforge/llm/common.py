@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,9 +32,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _MADE.append(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver forget finished plans, so that executors delete their shuffle files now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that materialize() has made in this process; call once results are written."""
     jvm = spark.sparkContext._jvm
