@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE64, materialize, mix64, text_batches
+from .common import BYTE64, free_shuffles, materialize, mix64, text_batches
 
 GRAM = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -335,6 +335,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, chunk_bytes: int = 4_00
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("th"))
     rows = rows.withColumn("chunk", F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)), F.lit(chunks).cast("long")).cast("int"))
     stage = materialize(compared(rows, indexed(rows, length, buckets, chunks), length, buckets), "strings-stage")
+    free_shuffles(docs.sparkSession)  # the text and the entries have been shuffled for the stage only
     done = stage.filter("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
     def windows(table):
