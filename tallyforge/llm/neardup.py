@@ -5,13 +5,14 @@ permutation of the slots and lets its j-th rank touch one slot with a value in [
 correlated across slots, which lowers the variance below plain MinHash, and an element stops as soon as j is above
 every slot. Equal sets are collapsed to one node first, so copies never meet as pairs.
 
-Bands of four slots send nodes to buckets. In the first round each bucket links its members to its smallest one only.
-Verified links are grouped by distributed union-find. Later rounds look only at buckets whose members still lie in
-different groups: blocks of the members outside a bucket's largest group are compared with blocks of all members by
-signature and size, best first, and a pair is proposed only where the groups aren't joined by better proposals. Rounds
-propose ever more per pair of groups and end when nothing that the signature allows is left unverified between groups;
-so the groups equal those of all verified links without all pairs being made. At similarity 0.8, 28 bands of 4 miss a
-pair with probability 4e-7, and a signature of 128 slots underrates it by 0.15 with probability 1e-5 at most.
+Bands of four slots send nodes to buckets. Verified links are grouped by distributed union-find in three rounds. First
+each bucket links its members to its smallest one only. Then buckets whose members still lie in different groups are cut
+into blocks - members outside the largest group against all members - and compared by signature and size; best first,
+one pair is proposed for two groups. Last, for blocks that still hold pairs of different groups which the signature
+allows, the full sets of their members meet in one place: all intersections of a block are counted at once by products
+of its shingle incidence, and only links that join two groups leave the block. So the groups equal those of all links
+without all pairs being made. At similarity 0.8, 28 bands of 4 miss a pair with probability 4e-7, and a signature of 128
+slots underrates it by 0.15 with probability 1e-5 at most.
 
 Nulls and texts without words: empty set, linked with nothing, kept. A null doc_id is compared as any other value of its
 column (null last). Repeated rows share a set and thus a group. Empty tables give empty results; other columns pass.
@@ -165,67 +166,99 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary")
 
 
-def _best_first(x, y, near, comp_x, comp_y, budget: int) -> tuple[list[int], bool]:
-    """Which pairs to propose, best first: up to budget for two groups, none for groups that proposals already join."""
-    up: dict = {}
+class _Groups:
+    """Union-find over a few names."""
 
-    def root(c):
-        while up.get(c, c) != c:
-            up[c] = up.get(up[c], up[c])
-            c = up[c]
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, c):
+        while self.up.get(c, c) != c:
+            self.up[c] = self.up.get(self.up[c], self.up[c])
+            c = self.up[c]
         return c
 
-    used: dict = {}
-    out, capped = [], False
-    for i in np.lexsort((y, x, -near)).tolist():
-        a, b = root(comp_x[x[i]]), root(comp_y[y[i]])
-        if a == b:
-            capped = True
-            continue
-        name = (min(a, b), max(a, b))
-        used[name] = used.get(name, 0) + 1
-        out.append(i)
-        if used[name] >= budget:
-            up[a] = b
-    return out, capped
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
 
 
-def _proposed(rows: DataFrame, reps: DataFrame, percent: int, slack: float, budget: int, block: int) -> DataFrame:
-    """rows(key, band, node, component, main, outer, members) of open buckets -> pairs (a, b); (null, null): some were put off.
+def _fitting(rows: DataFrame, reps: DataFrame, percent: int, slack: float, block: int, best: bool) -> DataFrame:
+    """rows(key, band, node, component, main, outer, members) of open buckets -> pairs that signature and size allow.
 
     Members outside a bucket's main group, in blocks, meet all its members, in blocks; no task holds a whole bucket.
+    best: (a, b), best first, one pair for two groups; else (key, i, j, node, component) of all nodes in such pairs.
     """
     full = rows.join(reps.select("node", "n", "sig"), "node").withColumns({"_i": F.ceil(F.col("outer") / block).cast("int"), "_j": F.ceil(F.col("members") / block).cast("int")})
     kept = ["key", "band", "node", "component", "n", "sig"]
     spot = F.xxhash64("node", "key")
     left = full.filter("component <> main").select(*kept, F.lit(0).alias("side"), F.pmod(spot, F.col("_i")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"))
     right = full.select(*kept, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("i"), F.pmod(spot, F.col("_j")).cast("int").alias("j"))
+    schema = "a binary, b binary" if best else "key long, i int, j int, node binary, component binary"
 
     def work(key, table):
         import pyarrow as pa
 
         side = table.column("side").to_numpy()
         nodes = np.array(table.column("node").to_pylist(), dtype=object)
-        comps = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
+        names = table.column("component").to_pylist()
+        comps = np.unique(np.array(names, dtype=object), return_inverse=True)[1]
         n, sig = table.column("n").to_numpy(), _sig(table.column("sig"))
         band = table.column("band")[0].as_py()
         l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         outer = set(nodes[l].tolist())
-        xs, ys, ns = [], [], []
+        pairs = []
         for p in l:
             near = (sig[p] == sig[r]).mean(axis=1)
             fits = (near >= percent / 100 - slack) & (comps[r] != comps[p]) & (100 * np.minimum(n[p], n[r]) >= percent * np.maximum(n[p], n[r]))
             for q in np.flatnonzero(fits):
                 earlier = (sig[p][: band * ROWS] == sig[r[q]][: band * ROWS]).reshape(-1, ROWS).all(axis=1).any()
                 if not earlier and not (nodes[r[q]] in outer and nodes[r[q]] < nodes[p]):  # each pair in one bucket, once
-                    xs.append(p)
-                    ys.append(r[q])
-                    ns.append(near[q])
-        pick, capped = _best_first(xs, ys, np.array(ns), comps, comps, budget) if xs else ([], False)
-        pairs = [(min(nodes[xs[i]], nodes[ys[i]]), max(nodes[xs[i]], nodes[ys[i]])) for i in pick] + [(None, None)] * capped
-        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+                    pairs.append((-near[q], nodes[p], nodes[r[q]], p, r[q]))
+        if best:
+            groups = _Groups()
+            out = [(min(x, y), max(x, y)) for _, x, y, p, q in sorted(pairs) if groups.join(int(comps[p]), int(comps[q]))]
+            return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+        some = sorted({nodes[x]: x for p in pairs for x in p[3:]}.values())
+        here = [x.as_py() for x in key]
+        return pa.table([pa.array([here[0]] * len(some), pa.int64()), pa.array([here[1]] * len(some), pa.int32()), pa.array([here[2]] * len(some), pa.int32()), pa.array([nodes[x] for x in some], pa.binary()), pa.array([names[x] for x in some], pa.binary())], names=["key", "i", "j", "node", "component"])
+
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(work, schema)
+
+
+def _settled(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """members(key, i, j, node, component) of blocks -> links (a, b) between different groups, by full sets of all pairs."""
 
-    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary")
+    def work(key, table):
+        import pyarrow as pa
+
+        elements, offsets = shingle_sets(*joined_bytes(table.column("text")), k)
+        nodes = table.column("node").to_pylist()
+        comps = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
+        count, size = len(nodes), np.diff(offsets)
+        owner = np.repeat(np.arange(count), size)
+        order = np.argsort(elements, kind="stable")
+        e, o = elements[order], owner[order]
+        new = np.concatenate(([True], e[1:] != e[:-1]))
+        rank = np.cumsum(new) - 1
+        often = np.bincount(rank)[rank] > 1  # shingles of one text intersect with nothing
+        rank, o = np.unique(rank[often], return_inverse=True)[1], o[often]
+        both = np.zeros((count, count), np.float32)
+        width = max(256, 16_000_000 // max(1, count))  # columns of the incidence matrix at a time
+        cut = np.searchsorted(rank, np.arange(0, (rank[-1] + 1 if len(rank) else 0) + width, width))
+        for a, z in zip(cut, cut[1:], strict=False):
+            if z > a:
+                m = np.zeros((count, width), np.float32)
+                m[o[a:z], rank[a:z] % width] = 1
+                both += m @ m.T
+        union = size[:, None] + size[None, :] - both
+        x, y = np.nonzero(np.triu((both > 0) & (100 * both >= percent * union) & (comps[:, None] != comps[None, :]), 1))
+        groups = _Groups()
+        out = [(nodes[p], nodes[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True) if groups.join(int(comps[p]), int(comps[q]))]
+        return pa.table([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
+
+    return members.join(texts, "node").groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary")
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.15, salts: int = 16, block: int = 1024) -> DataFrame:
@@ -241,30 +274,21 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack:
     star = buckets.filter((F.col("node") != F.col("head.node")) & (100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")))
     pairs = materialize(_agreeing(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), reps, percent, slack), "near-pairs")
     texts = materialize(_texts_of(buckets.select("node").distinct(), docs, reps), "near-texts")
-    tried, labels, budget, fresh = pairs, None, 1, pairs
+    verified = lambda p: materialize(_verified(p, texts, k, percent).filter("ok").select("a", "b"), "near-links")
+    labels = materialize(components(verified(pairs)), "near-labels")
     rows = buckets.select("key", "band", "node")
-    while True:
-        if not fresh.isEmpty():
-            checked = materialize(_verified(fresh, texts, k, percent), "near-links")
-            good = checked.filter("ok").select("a", "b")
-            if labels is None:
-                labels = materialize(components(good), "near-labels")
-            elif not good.isEmpty():  # groups found so far stand for their links, so that edges don't pile up
-                labels = materialize(components(good.union(labels.select("node", "component"))), "near-labels")
-        named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")) if labels is not None else rows.withColumn("component", F.col("node"))
+    for best in (True, False):
+        named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("members"), F.count("*").alias("groups"))
         opened = sizes.filter("groups > 1").select("key", F.col("m.component").alias("main"), (F.col("members") - F.col("m.c")).alias("outer"), "members")
         open_rows = materialize(named.join(opened, "key"), "near-open")
         rows = open_rows.select("key", "band", "node")
-        proposed = materialize(_proposed(open_rows, reps, percent, slack, budget, block).distinct(), "near-proposed")
-        fresh = materialize(proposed.filter("a is not null").join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.isEmpty() and proposed.filter("a is null").isEmpty():
-            break
-        tried = tried.union(fresh)
-        budget *= 8
+        fits = materialize(_fitting(open_rows, reps, percent, slack, block, best), "near-fitting")
+        good = verified(fits.distinct()) if best else materialize(_settled(fits, texts, k, percent), "near-links")
+        # groups found so far stand for their links, so that edges don't pile up
+        labels = materialize(components(good.union(labels.select("node", "component"))), "near-labels")
     named = reps.select("node", "doc_id")
-    named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("binary"))
-    named = named.withColumn("component", F.coalesce("component", "node"))
+    named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # a set may be that of a third of all rows
