@@ -55,6 +55,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+USED = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The columns of USED, and all others in one struct, so that no name of theirs can clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in USED]
+    return docs.select(*[c for c in USED if c in docs.columns], F.struct(F.lit(0).alias("_"), *others).alias("_extra"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The given columns again, in order, and more; a column of docs that has the name of one of more is replaced by it."""
+    return df.select(*[F.col(c) if c in USED else F.col(f"_extra.`{c}`").alias(c) for c in columns if c not in more], *more)
+
+
 def null_safe_key(c: Column) -> Column:
     """A string that differs for every value and for null, so that plain equi-joins can be used."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))

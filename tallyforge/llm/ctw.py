@@ -86,14 +86,14 @@ def _counted(train: DataFrame, keys_of, bucket_of, buckets: int) -> DataFrame:
 
     def work(batches):
         held, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for table in text_batches(batches):
+        for table in text_batches(batches, 2_000_000):
             w, n = np.unique(keys_of(table.column("text")), return_counts=True)
             held.append(w)
             counts.append(n)
-            if sum(map(len, held)) > 4_000_000:  # sums what is held, and hands it on where it is large by itself
+            if sum(map(len, held)) > 2_000_000:  # sums what is held, and hands it on where it is large by itself
                 w, n = _summed(held, counts)
                 held, counts = [w], [n]
-                if len(w) > 2_500_000:
+                if len(w) > 1_200_000:
                     yield from _packed(w, n, bucket_of(w, buckets), buckets)
                     held, counts = [w[:0]], [n[:0]]
         w, n = _summed(held, counts)
@@ -475,7 +475,7 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
                 del b._value  # few blocks stay in memory, more are read again for each batch
             return rows
 
-        for table in text_batches(batches, 4_000_000):
+        for table in text_batches(batches, 1_500_000):
             texts = table.column("text")
             data, starts = _stream(texts)
             grams = _grams(data)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, null_safe_key, permuted, words
+from .common import materialize, null_safe_key, packed, permuted, unpacked, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -116,9 +116,8 @@ def stage_mix(spark, docs: DataFrame, sf_dir: str, block: int = 512, seed: int =
     copies = F.row_number().over(Window.partitionBy("doc_id", "pass").orderBy("ordinal"))
     plan = named.select(F.col("doc_id").alias("_rid"), "pass", "runs", (F.col("taken") == F.col("size")).alias("whole"), copies.alias("_copy"))
     same = Window.partitionBy("_rid").orderBy("doc_id")
-    numbered = docs.withColumn("_rid", rid).withColumn("_copy", F.row_number().over(same))
+    numbered = packed(docs).withColumn("_rid", rid).withColumn("_copy", F.row_number().over(same))
     text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " "))
     out = numbered.join(plan, ["_rid", "_copy"]).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = unpacked(out, docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, materialize, mix64, text_batches, word_hashes
+from .common import joined_bytes, materialize, mix64, packed, text_batches, unpacked, word_hashes
 from .graph import components
 
 BANDS, ROWS, SLOTS = 28, 4, 128
@@ -308,5 +308,5 @@ def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(docs.select("doc_id", "text"), k=5)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min(F.struct(F.col("th").isNull(), "th"))["th"].alias("_th"))
     kept = kept.withColumnRenamed("doc_id", "_id")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    return rows.join(kept, rows.doc_id.eqNullSafe(kept._id) & rows._h.eqNullSafe(kept._th), "left_semi").select(*docs.columns)
+    rows = packed(docs).withColumn("_h", F.xxhash64("text"))
+    return unpacked(rows.join(kept, rows.doc_id.eqNullSafe(kept._id) & rows._h.eqNullSafe(kept._th), "left_semi"), docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, null_safe_key, words
+from .common import materialize, null_safe_key, packed, unpacked, words
 
 #: Rate -> the least distance above the upper quartile at which it rejects.
 SLACK = {"symbols_per_word": 0.1, "upper_share": 0.15, "dup_line_share": 0.3, "word_length": 4.0}
@@ -102,5 +102,5 @@ def op4_adaptive_quality(spark, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    measured = materialize(with_metrics(docs), "quality-documents")
-    return judged(measured).filter("kept").select(*docs.columns)
+    measured = materialize(with_metrics(packed(docs)), "quality-documents")
+    return unpacked(judged(measured).filter("kept"), docs.columns)

@@ -17,6 +17,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 
 @dataclass(frozen=True)
 class HashTree:
@@ -108,7 +110,7 @@ def op1_hash_tree(spark, sf_dir: str) -> DataFrame:
 
 def stage_shard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage: the documents with their shard and their slot in it."""
-    columns = tuple(docs.columns)
     tree = HashTree.regular(24)
-    out = shard_documents(docs, tree, tree.grow("region0", "rack0"), keep=columns)
-    return out.select(*columns, "shard", "slot", "grown_shard")
+    rows = packed(docs)
+    out = shard_documents(rows, tree, tree.grow("region0", "rack0"), keep=tuple(rows.columns))
+    return unpacked(out, docs.columns, "shard", "slot", "grown_shard")
