@@ -41,7 +41,7 @@ def duplicate_key(x: str | Column) -> Column:
 def lines(x: str | Column, separator: str = "\n") -> Column:
     """Trimmed non-blank lines; break tags count as line ends, marks before a comma as spaces."""
     t = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"_x000D_\s*(?=,)", " "), "_x000D_", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s*_x000D_\s*(?=,)", " "), "_x000D_", "\n")
     t = F.regexp_replace(t, "<[^>]*>", " ")
     return F.filter(F.transform(F.split(t, separator), strip), lambda s: s != "")
 
@@ -58,7 +58,8 @@ def repaired(x: str | Column, fixes: dict[str, str]) -> Column:
 
 def broken_before(x: str | Column, headers: list[str]) -> Column:
     """A newline before every header (regex) that ends in ':', but not at the start."""
-    return F.regexp_replace(_c(x), rf"(?<=\S)\s*(?=(?:{'|'.join(headers)})\s*:)", "\n")
+    longest = "|".join(sorted(headers, key=len, reverse=True))  # so that no header is taken for the end of a longer one
+    return F.regexp_replace(F.regexp_replace(_c(x), rf"\s*(?<!\p{{L}})((?:{longest})\s*:)", "\n$1"), r"^\n", "")
 
 
 def basic_name(x: str | Column) -> Column:

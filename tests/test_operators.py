@@ -21,24 +21,22 @@ def one(spark, column, value):
 @pytest.mark.parametrize(
     ("column", "value", "expected"),
     [
-        (T.duplicate_key("x"), " Straße <b>A</b>_x000D_  b\n", "strasse a b"),
-        (T.duplicate_key("x"), None, ""),
-        (T.single_line("x"), None, None),
-        (T.without_tail("x", ["data", "survey"]), "Labour Force survey data ", "Labour Force"),
-        (T.without_acronym("x"), "Office for Things (OFT)", "Office for Things"),
-        (T.without_acronym("x"), "Office (north)", "Office (north)"),
-        (T.project_key("x"), "2020/001 CLOSED", "2020/001"),
-        (T.prompt_safe("x", 5), "a {b}  cdef", "a (b)..."),
-        (T.json_body("x"), 'x ```json\n{"a":1}\n``` y', '{"a":1}'),
-        (T.json_body("x"), 'well {"a":1} end', '{"a":1}'),
-        (T.broken_before("x", ["Office", "Home Office"]), "Home Office: a, b Office: c", "Home Office: a, b\nOffice: c"),
-        (T.display_list("x"), None, "—"),
+        (lambda: T.duplicate_key("x"), " Straße <b>A</b>_x000D_  b\n", "strasse a b"),
+        (lambda: T.duplicate_key("x"), None, ""),
+        (lambda: T.single_line("x"), None, None),
+        (lambda: T.without_tail("x", ["data", "survey"]), "Labour Force survey data ", "Labour Force"),
+        (lambda: T.without_acronym("x"), "Office for Things (OFT)", "Office for Things"),
+        (lambda: T.without_acronym("x"), "Office (north)", "Office (north)"),
+        (lambda: T.project_key("x"), "2020/001 CLOSED", "2020/001"),
+        (lambda: T.prompt_safe("x", 5), "a {b}  cdef", "a (b)..."),
+        (lambda: T.json_body("x"), 'x ```json\n{"a":1}\n``` y', '{"a":1}'),
+        (lambda: T.json_body("x"), 'well {"a":1} end', '{"a":1}'),
+        (lambda: T.broken_before("x", ["Office", "Home Office"]), "Home Office: a, b Office: c", "Home Office: a, b\nOffice: c"),
+        (lambda: T.display_list("x"), None, "—"),
     ],
 )
 def test_text(spark, column, value, expected):
-    if expected == "a (b)...":
-        expected = "a (b)"[:5] + "..."
-    assert one(spark, column, value) == expected
+    assert one(spark, column(), value) == expected
 
 
 def test_lists_and_suffixes(spark):
