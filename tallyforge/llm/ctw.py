@@ -467,7 +467,6 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
         import pyarrow as pa
 
         finder = _Finder(*listed.value)
-        listed._value = None
 
         def loaded(b):
             rows = b.value
