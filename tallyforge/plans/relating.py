@@ -15,7 +15,7 @@ from ..operators import sampling as G
 from .bind import WITH
 
 #: A small reference dimension over collections, and the domains that products link.
-METHODS = [("ECONOMY ANODIZED", "survey", "cross-sectional"), ("ECONOMY", "survey", "longitudinal"), ("STANDARD", "admin", "cross-sectional"), ("PROMO", "admin", "longitudinal"), ("MEDIUM", "survey", "cross-sectional"), ("LARGE", "admin", "longitudinal")]
+METHODS = [("SMALL", "survey", "longitudinal"), ("ECONOMY", "survey", "longitudinal"), ("STANDARD", "admin", "cross-sectional"), ("PROMO", "admin", "longitudinal"), ("MEDIUM", "survey", "cross-sectional"), ("LARGE", "admin", "longitudinal")]
 
 
 def _dim(t):
