@@ -35,16 +35,16 @@ def features(text: str | None) -> set[str]:
     return found
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, anchor: float = 0.5, silent: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of the toxic class for rows x voters of 0/1 votes; and the voters' rates by class and correlation discounts.
 
-    start: first guess of the posteriors.
+    start: first guess of the posteriors, from labels. It keeps the weight `anchor` in every round, else the two classes
+    may drift to languages. A voter that doesn't vote abstains: no voter is expected to see all of a class.
     """
     rows, voters = votes.shape
     post, discount = start.astype(float).copy(), np.ones(voters)
     rates = np.zeros((2, voters))
     for step in range(rounds):
-        share = np.clip(post.mean(), 0.005, 0.9)
         for c, weight in enumerate((1 - post, post)):
             rates[c] = (weight @ votes + (0.02, 0.2)[c]) / (weight.sum() + 1)
         if step in (3, 10):
@@ -59,9 +59,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
                 discount = np.maximum(discount, 1 + np.where(corr > 0.2, corr, 0).sum(1))
         rates = np.clip(rates, 1e-4, 1 - 1e-4)
         on = np.log(rates[1] / rates[0]) / discount
-        off = np.log((1 - rates[1]) / (1 - rates[0])) / discount
-        logit = np.log(share / (1 - share)) + votes @ (on - off) + off.sum()
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = np.log(silent / (1 - silent)) + votes @ on
+        post = anchor * start + (1 - anchor) / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rates, discount
 
 
@@ -113,7 +112,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, max_features: int = 4096, ma
             voters.append(f)
             held.append(mine)
     votes = np.array([[f in s for f in voters] for s in sets], np.float32)
-    post, _, _ = label_model(votes, np.clip(votes.sum(1), 0, 1) * 0.9 + 0.02)
+    post, _, _ = label_model(votes, np.where(toxic > 0, 0.97, 0.03))
     names = list(dict.fromkeys([*voters, *sorted(clear, key=lambda f: (-sum(clear[f]), f))]))[:max_features]
     place = {f: i for i, f in enumerate(names)}
     rows = [np.array(sorted(place[f] for f in s if f in place), np.int64) for s in sets]
