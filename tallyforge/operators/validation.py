@@ -99,8 +99,8 @@ def issues(rows: DataFrame, key: str, rules: dict[str, tuple[str, Column]]) -> D
 
 def complete_panels(ratings: DataFrame, project: str, rater: str, bad: DataFrame, raters: int = 3) -> DataFrame:
     """Projects without a fatal issue that exactly `raters` different raters have rated once each."""
-    ok = ratings.join(bad.select(project).distinct(), project, "left_anti").groupBy(project).agg(F.count("*").alias("n"), F.countDistinct(rater).alias("r"))
-    return ok.filter((F.col("n") == raters) & (F.col("r") == raters)).select(project)
+    ok = ratings.join(bad.select(project).distinct(), project, "left_anti").groupBy(project).agg(F.count("*").alias("_n"), F.countDistinct(rater).alias("_r"))
+    return ok.filter((F.col("_n") == raters) & (F.col("_r") == raters)).select(project)
 
 
 def adjudication(cases: DataFrame, case: str, record: str, stream: str, reasons: dict[str, Column]) -> DataFrame:
