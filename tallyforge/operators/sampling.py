@@ -71,7 +71,7 @@ def audit(done: DataFrame, mandatory: DataFrame, key: str, share: float, seed: i
 
 def assignments(records: DataFrame, raters: DataFrame, record: str, rater: str, seed: int) -> DataFrame:
     """Every record for every rater, each rater in an order of their own."""
-    both = records.select(record).crossJoin(F.broadcast(raters.select(rater)))  # records x a handful of raters
+    both = records.select(record).crossJoin(raters.select(rater))  # records x a handful of raters
     return both.withColumn("display_order", F.row_number().over(Window.partitionBy(rater).orderBy(order_key(seed, rater, record), record)))
 
 

@@ -19,7 +19,7 @@ def adoption(mentions: DataFrame, records: DataFrame, line: str, product: str, d
     used = mentions.select(record, line, product).distinct().join(dated.select(record, "period"), record)
     n = used.groupBy(line, "period").agg(F.countDistinct(record).alias("projects"), F.count("*").alias("requests"))
     start = n.groupBy(line).agg(F.min("period").alias("start"))
-    cells = calendar(records, date, unit=unit).crossJoin(F.broadcast(start)).filter("period >= start")  # periods x lines
+    cells = calendar(records, date, unit=unit).crossJoin(start).filter("period >= start")  # periods x lines
     out = cells.join(n, [line, "period"], "left").join(total, "period", "left").na.fill(0, ["projects", "requests", "total"])
     return out.select(line, "period", "projects", "requests", "total", (F.col("projects") / F.nullif(F.col("total"), F.lit(0).cast("long"))).alias("share"))
 
