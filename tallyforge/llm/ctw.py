@@ -3,9 +3,9 @@
 The byte values seen in training and one symbol for all others are decomposed into binary decisions; every decision has a context tree over the previous bytes. A node
 holds a Krichevsky-Trofimov estimate of its zeros and ones. The weighted probability of a node is the mean of its own
 estimate and the product of its children's, so all depths are mixed, with one weight a node: the share of its own
-estimate in its weighted probability. A child context is split off where it holds at least min_share of all training
-bytes (and two of them); the other continuations of a context share one leaf. So at most 1 / min_share contexts exist
-at each depth, whatever the corpus, and every training byte is in exactly one leaf.
+estimate in its weighted probability. A child context is split off where it was seen at least min_count times; the
+other continuations of a context share one leaf. So the tree grows with the corpus, and every training byte is in exactly
+one leaf.
 
 Texts are lower-cased (A-Z) and end with byte 0xFF, which UTF-8 doesn't use and which also fills the context before the
 first byte. Training counts (context, next byte) over all training texts: packed counts per task and bucket of contexts
@@ -26,13 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, joined_bytes, materialize, text_batches, word_hashes
+from .common import _LOWER, free_shuffles, joined_bytes, materialize, text_batches, word_hashes
 
 END = 255
 DEPTH = 5
-MIN_SHARE = 2.0**-20
+MIN_COUNT = 2
 CONTEXT_BUCKETS = 64
-BLOCK_CONTEXTS = 65_536
+BLOCK_CONTEXTS = 32_768
 BLOCK_WORDS = 4_000_000
 #: Training bytes a bucket of word counts is made for.
 BUCKET_BYTES = 64_000_000
@@ -274,10 +274,9 @@ def _unpack(table) -> tuple[np.ndarray, np.ndarray]:
 class ContextTree:
     """The tree of all training counts: lower levels distributed, depth 0 and 1 as arrays here."""
 
-    def __init__(self, grams: DataFrame, min_share: float = MIN_SHARE):
+    def __init__(self, grams: DataFrame, min_count: int = MIN_COUNT):
         self.grams = materialize(grams, "ctw-grams")
-        total = self.grams.agg(F.sum("n")).first()[0] or 0
-        self.least = least = max(2.0, total * min_share)
+        self.least = least = min_count
 
         def used(key, table):
             import pyarrow as pa
@@ -440,12 +439,13 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
     depths, names, firsts, tree_blocks = [], [], [0], []
     tree = ContextTree(gram_counts(train))
     symbols, wide = tree.alphabet.of, tree.alphabet.width
+    free_shuffles(docs.sparkSession)  # and broadcasts of earlier calls
     for d, x, rows in tree.blocks(block_contexts):
         depths.append(d)
         names.append(x)
         firsts.append(firsts[-1] + len(x))
         tree_blocks.append(context.broadcast(rows.reshape(-1)))
-    listed = context.broadcast((np.concatenate(depths), np.concatenate(names)))  # at most DEPTH / min_share names
+    listed = context.broadcast((np.concatenate(depths), np.concatenate(names)))  # nine bytes or so a context; rows come in blocks
     size = train.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("rows")).first()
     vocabulary = materialize(word_counts(train, max(1, -(-(size["b"] or 0) // BUCKET_BYTES))), "ctw-words")
     sums = vocabulary.select("bucket", "v", "n").orderBy("bucket").collect()  # one small row for each 64 MB of training text
