@@ -79,14 +79,25 @@ CHECKS = {
     "phone": lambda v: F.length(_digits(v)).between(10, 15),
 }
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+#: What each pattern's matches hold: a pattern that cannot match costs one search for this.
+NEEDS = {
+    "email": lambda t: t.contains("@"),
+    "phone": lambda t: t.contains("+"),
+    "ip": lambda t: t.rlike("[0-9]"),
+    "card": lambda t: t.rlike("[0-9]"),
+    "secret": lambda t: t.rlike("[:=]"),
+    "mail": lambda t: t.rlike(r"(?i)[\[(]dot[\])]"),
+    "number": lambda t: t.rlike("[0-9]{4}"),
+    "account": lambda t: t.rlike("[0-9]{2}"),
+    "key": lambda t: t.rlike("[A-Za-z0-9]{16}"),
+}
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, th, base and more: array<struct<start, end, kind, value, left, right, label>> each."""
     text = F.coalesce("text", F.lit(""))
     raw = docs.select("doc_id", F.xxhash64("text").alias("th"), text.alias("t"))
-    # a pattern that cannot match costs one search for a character it needs
-    needs = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+"), "ip": F.col("t").rlike("[0-9]"), "card": F.col("t").rlike("[0-9]"), "secret": F.col("t").rlike("[:=]"), "mail": F.col("t").rlike(r"(?i)[\[(]dot[\])]"), "number": F.col("t").rlike("[0-9]{4}"), "account": F.col("t").rlike("[0-9]{2}"), "key": F.col("t").rlike("[0-9a-fA-Z]{16}")}
+    needs = {k: need(F.col("t")) for k, need in NEEDS.items()}
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     found = raw.select("*", *[F.when(needs[k], matches(F.col("t"), p)).otherwise(none).alias(k) for k, p in (BASE | GENERATORS).items()])
 
