@@ -77,10 +77,8 @@ TRIALS = "with " + ", ".join(f"t{i} as (select l.l_orderkey record_id, list_sort
 
 
 def bootstrap(t):
-    """Percentile interval of the mean order value over 200 replicates of a panel."""
-    panel = t.orders.filter("o_orderkey % 40 = 0").select("o_orderkey", "o_totalprice")
-    draws = G.joint_bootstrap(panel, "o_orderkey", 200, 20260714).join(panel, "o_orderkey")
-    means = draws.groupBy("replicate").agg((F.sum(F.col("times") * F.col("o_totalprice")) / F.sum("times")).alias("mean"))
+    """Percentile interval of the mean order value over 200 replicates of all orders."""
+    means = G.poisson_bootstrap(t.orders, "o_orderkey", "o_totalprice", 200, 20260714)
     return G.bootstrap_interval(means, "mean", 200)
 
 
