@@ -37,7 +37,8 @@ TEMPLATES = {
 }
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _TRIGGER = {"license", "licence", "licensed", "licenced", "licenses", "copyright", "permission", "redistribution", "released", "rights"}
-PREFILTER = r"(?i)licen[cs]e|copyright|permission is hereby|all rights reserved"
+#: Every text with a trigger word, in either spelling, matches.
+PREFILTER = r"(?i)licen[cs]e|copyright|permission|redistribution|released|rights"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 
