@@ -167,7 +167,6 @@ def reachable_cover(incidence: DataFrame, owner: str, item: str, unreachable: Da
     """Greedy cover with dispositions: (owner, newly covered, admitted?); unreachable owners take a step but cover nothing."""
     edges = incidence.select(owner, item).distinct()
     total = edges.groupBy(owner).agg(F.count("*").alias("t"))
-    away = {r[0] for r in unreachable.select(owner).distinct().limit(searched + 1).collect()}
     left, out, good, used = edges, [], 0, []
     while len(out) < searched and good < admitted:
         rest = left.filter(~F.col(owner).isin(used)) if used else left
@@ -175,7 +174,7 @@ def reachable_cover(incidence: DataFrame, owner: str, item: str, unreachable: Da
         if best is None:
             break
         used.append(best[owner])
-        ok = best[owner] not in away
+        ok = unreachable.filter(F.col(owner) == best[owner]).isEmpty()  # asked of picked owners only
         out.append((best[owner], best["n"] if ok else 0, ok))
         if ok:
             good += 1
