@@ -262,10 +262,13 @@ def _settled(members: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.15, salts: int = 16, block: int = 1024) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, th, n_shingles, component_id), one row per row of docs; th is the text's xxhash64."""
+    """docs(doc_id, text) -> (doc_id, th, n_shingles, component_id, component), one row per row of docs; th is the text's xxhash64.
+
+    component names the group, also where ids repeat or are null; it is null for texts without words.
+    """
     base = materialize(signatures(docs, k), "near-signatures")
-    reps = base.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th", "n", "sig")).alias("r"))
-    reps = materialize(reps.select("node", "r.*"), "near-nodes")
+    reps = base.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n", "sig")).alias("r"))
+    reps = materialize(reps.select("node", "r.doc_id", "r.th", "r.n", "r.sig"), "near-nodes")
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.substring("sig", width * i + 1, width), F.lit(i)) for i in range(BANDS)])
     banded = reps.select("node", "n", F.posexplode(keys).alias("band", "key"))
@@ -290,11 +293,11 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack:
     named = reps.select("node", "doc_id")
     named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    by_node = named.join(least, "component").select("node", "component_id", "component").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # a set may be that of a third of all rows
     rows = base.withColumn("_salt", F.pmod(F.hash("doc_id", "th"), F.lit(salts)))
-    filled = rows.filter("node is not null").join(by_node, ["node", "_salt"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-    return filled.unionByName(rows.filter("node is null").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    filled = rows.filter("node is not null").join(by_node, ["node", "_salt"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
+    return filled.unionByName(rows.filter("node is null").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component")))
 
 
 def op7_superminhash(spark, sf_dir: str) -> DataFrame:
@@ -304,9 +307,10 @@ def op7_superminhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest doc_id (null last) and text hash."""
     groups = near_duplicate_groups(docs.select("doc_id", "text"), k=5)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min(F.struct(F.col("th").isNull(), "th"))["th"].alias("_th"))
+    grouped = groups.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("th").alias("_th"))).alias("r")).select("r.doc_id", "r._th")
+    kept = grouped.union(groups.filter("component is null").select("doc_id", "th")).distinct()
     kept = kept.withColumnRenamed("doc_id", "_id")
     rows = packed(docs).withColumn("_h", F.xxhash64("text"))
     return unpacked(rows.join(kept, rows.doc_id.eqNullSafe(kept._id) & rows._h.eqNullSafe(kept._th), "left_semi"), docs.columns)
