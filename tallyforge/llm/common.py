@@ -74,15 +74,16 @@ def null_safe_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
 
-def permuted(x: Column, n: Column, key: Column, rounds: int = 8) -> Column:
-    """Pseudorandom permutation of [0, n) by swap-or-not rounds; exact for every n, no cycle walking."""
+def permuted(x: Column, n: Column, key: Column, rounds: int = 8, inverse: bool = False) -> Column:
+    """Pseudorandom permutation of [0, n) by swap-or-not rounds, or its inverse; exact for every n, no cycle walking."""
 
     def step(acc, r):
         other = F.pmod(F.pmod(F.xxhash64(key, r), n) + n - acc, n)
         coin = F.xxhash64(key, r, F.greatest(acc, other)).bitwiseAND(F.lit(1))
         return F.when(coin == 1, other).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), step)
+    order = F.sequence(F.lit(rounds), F.lit(1)) if inverse else F.sequence(F.lit(1), F.lit(rounds))
+    return F.aggregate(order, x.cast("long"), step)  # each round is its own inverse
 
 
 # --- NumPy text batches -------------------------------------------------------------------------------------

@@ -1,14 +1,21 @@
-"""Mixing sources to target weights: fixed-length blocks, per-shard source draws, pseudorandom block permutations.
+"""Mixing sources to target weights: fixed-length blocks, multinomial draws per output shard, block permutations.
 
 The words of each source form one stream, its documents in a hash order. The stream is cut into blocks of a fixed
-number of words. A source with target T gets ceil(T / block) slots; slot t reads block permutation(t mod blocks) in
-pass t div blocks, the last slot only as many words as are left of T. All slots form a deck; a pseudorandom permutation
-of the deck deals it to output shards of equal size, so the source counts of a shard are multinomial draws given the
-totals, and the totals are exact. Slots meet blocks in an equi-join on (source, block).
+number of words; only its last block may be short. A source with target T gets as many slots as hold T words: whole
+passes over its blocks, then a part of one more pass. Every pass reads the blocks in a pseudorandom permutation of its
+own; the place of the short block in the last pass is known from the inverse permutation, so the words it lacks come
+from the next slot and each source gives exactly T words.
+
+The output is a row of shards of shard_slots slots. Each slot draws its source with probability slots of the source /
+all slots, so the counts of a shard are a multinomial draw, independent of other shards. The draws of a source are
+numbered in output order and read its slots in that order. Over all shards a source is drawn a little too often or too
+seldom (about the root of its slots); the last draws beyond a source's slots go to the sources that were drawn too
+seldom, so totals are exact. Slots meet blocks in an equi-join on (source, block).
 
 Nulls: a null source is a source of its own, last in order; a null text has no words and takes none. Sources without
-words get target 0. Repeated rows count each on its own. Empty tables give empty results. Reruns agree: all draws are
-hashes of doc_id, source and a seed.
+words get target 0. Repeated rows count each on its own. Very long texts span many blocks, each a row of its own. Ties
+(equal ids) are ordered by size, and rows alike in both are interchangeable. Empty tables give empty results. Names of
+other columns can't clash. Reruns agree: all draws are hashes of slot, doc_id, source and a seed.
 """
 
 from __future__ import annotations
@@ -62,39 +69,87 @@ def _prepared(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, materialize(source_targets(sources), "mix-targets")
 
 
-def slots(targets: DataFrame, block: int, shard_slots: int, seed: int, chunk: int = 4096) -> DataFrame:
-    """(key, pass, block, take, shard): one row a slot, made in chunks so that a large source is no single task's work."""
-    n = F.ceil(F.round("target") / block).cast("long")
-    t = targets.withColumn("_n", n).filter("_n > 0").withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    deck = Window.orderBy("key")
-    t = t.withColumn("_first", F.sum("_n").over(deck) - F.col("_n")).withColumn("_deck", F.sum("_n").over(Window.partitionBy()))
-    chunks = t.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk))))
-    # a fixed number of partitions, which adaptive execution leaves alone: each row becomes `chunk` rows
-    chunks = chunks.repartition(max(8, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "_c")
-    one = chunks.withColumn("_t", F.explode(F.sequence(F.col("_c") * chunk, F.least(F.col("_n"), (F.col("_c") + 1) * chunk) - 1)))
-    key = F.xxhash64("key", F.lit(seed))
-    place = permuted(F.col("_first") + F.col("_t"), F.col("_deck"), F.lit(seed))
-    # a short last block: the words it lacks are made up by the last slot only as far as the block goes
-    take = F.when(F.col("_t") == F.col("_n") - 1, F.round("target").cast("long") - F.col("_t") * block).otherwise(F.lit(block))
-    return one.select("key", F.floor(F.col("_t") / F.col("_blocks")).alias("pass"), permuted(F.pmod(F.col("_t"), F.col("_blocks")), F.col("_blocks"), key).alias("block"), take.alias("take"), F.floor(place / shard_slots).alias("shard"))
+def source_slots(targets: DataFrame, block: int, seed: int) -> DataFrame:
+    """targets with the layout of each source: blocks, short (words of the last block), passes, rest (words of the part pass), at_short, slots, first."""
+    t = targets.filter("source_size > 0").withColumn("_t", F.round("target").cast("long")).filter("_t > 0")
+    t = t.withColumns({"blocks": F.ceil(F.col("source_size") / block).cast("long"), "passes": F.expr("_t div source_size")})
+    t = t.withColumns({"short": F.col("source_size") - (F.col("blocks") - 1) * block, "rest": F.col("_t") - F.col("passes") * F.col("source_size")})
+    t = t.withColumn("at_short", permuted(F.col("blocks") - 1, F.col("blocks"), _pass_key(F.col("passes"), seed), inverse=True))
+    plain = F.ceil(F.col("rest") / block)
+    part = F.when(F.col("at_short") < plain, F.ceil((F.col("rest") + block - F.col("short")) / block)).otherwise(plain)
+    t = t.withColumn("slots", (F.col("passes") * F.col("blocks") + part).cast("long"))
+    return t.withColumn("first", F.sum("slots").over(Window.orderBy("key")) - F.col("slots")).drop("_t")  # a row a source
+
+
+def _pass_key(number, seed: int):
+    return F.xxhash64(F.col("key"), number.cast("long"), F.lit(seed))
+
+
+def _owner(points: DataFrame, at: str, ranges: DataFrame, first: str, size: str, width: int) -> DataFrame:
+    """points with the key of the range [first, first + size) that `at` lies in, by an equi-join on stretches of `width`."""
+    cut = ranges.filter(f"{size} > 0").select("key", F.col(first).alias("_first"), (F.col(first) + F.col(size)).alias("_end"))
+    cut = cut.withColumn("_cell", F.explode(F.sequence(F.expr(f"_first div {width}"), F.expr(f"(_end - 1) div {width}"))))
+    both = points.withColumn("_cell", F.expr(f"{at} div {width}")).join(cut, "_cell")
+    return both.filter(f"{at} >= _first and {at} < _end").drop("_cell", "_end")
+
+
+def drawn_slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, slot, key, t): the source of every output slot and which of the source's slots it reads."""
+    spark = sources.sparkSession
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
+    rows = spark.range(0, total, 1, parts).withColumn("_r", F.pmod(F.xxhash64("id", F.lit(seed), F.lit("draw")), F.lit(max(1, total))))
+    found = _owner(rows, "_r", sources, "first", "slots", max(4096, total // 100_000))  # at most 100,000 cells and a few a source
+    draws = materialize(found.select("id", F.expr(f"id div {shard_slots}").alias("shard"), "key"), "mix-draws")
+    # number of a draw among those of its source: sums over groups of shards, over shards, and inside the shard
+    counts = draws.groupBy("key", "shard").agg(F.count("*").alias("n")).withColumn("_g", F.expr("shard div 1024"))
+    groups = counts.groupBy("key", "_g").agg(F.sum("n").alias("n"))
+    upto = lambda part, order: F.sum("n").over(Window.partitionBy(*part).orderBy(order)) - F.col("n")
+    groups = groups.select("key", "_g", upto(["key"], "_g").alias("_before"))
+    counts = counts.withColumn("_inner", upto(["key", "_g"], "shard")).join(groups, ["key", "_g"])
+    counts = counts.select("key", "shard", (F.col("_before") + F.col("_inner")).alias("_start"))
+    numbered = draws.withColumn("_i", F.row_number().over(Window.partitionBy("shard", "key").orderBy("id")) - 1)
+    numbered = numbered.join(counts, ["shard", "key"]).select("id", "shard", "key", (F.col("_start") + F.col("_i")).alias("t"))
+    made = draws.groupBy("key").agg(F.count("*").alias("drawn"))
+    balance = sources.select("key", "slots").join(made, "key", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    balance = balance.withColumns({"over": F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), "under": F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))})
+    order = Window.orderBy("key")  # a row a source
+    balance = balance.withColumns({"over_first": F.sum("over").over(order) - F.col("over"), "under_first": F.sum("under").over(order) - F.col("under")})
+    placed = numbered.join(balance.select("key", F.col("slots").alias("_n"), "over_first"), "key")
+    fine = placed.filter("t < _n").select("id", "shard", "key", "t")
+    moved = placed.filter("t >= _n").select("id", "shard", (F.col("over_first") + F.col("t") - F.col("_n")).alias("_e"))
+    moved = _owner(moved, "_e", balance.select("key", "under", "under_first"), "under_first", "under", 1024).join(balance.select("key", "drawn"), "key")
+    moved = moved.select("id", "shard", "key", (F.col("drawn") + F.col("_e") - F.col("_first")).alias("t"))
+    return fine.unionByName(moved).select("shard", F.pmod("id", F.lit(shard_slots)).alias("slot"), "key", "t")
+
+
+def slots(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, slot, key, pass, block, take): what each slot of the output reads, `take` words from the start of the block."""
+    sources = materialize(source_slots(targets, block, seed), "mix-sources")
+    both = drawn_slots(sources, shard_slots, seed).join(sources.select("key", "blocks", "passes", "short", "rest", "at_short"), "key")
+    both = both.withColumns({"pass": F.expr("t div blocks"), "_q": F.expr("t % blocks")})
+    lacking = F.when(F.col("_q") > F.col("at_short"), F.lit(block) - F.col("short")).otherwise(0)
+    left = F.col("rest") - F.col("_q") * block + lacking
+    take = F.when(F.col("pass") < F.col("passes"), F.lit(block)).otherwise(F.least(F.lit(block), left)).cast("long")
+    return both.select("shard", "slot", "key", "pass", permuted(F.col("_q"), F.col("blocks"), _pass_key(F.col("pass"), seed)).alias("block"), take.alias("take"))
 
 
 def taken_pieces(placed: DataFrame, chosen: DataFrame, block: int) -> DataFrame:
-    """(key, ordinal, pass, shard, from, words): the words of a document that a slot reads, counted from its first word."""
+    """(key, ordinal, pass, shard, slot, from, words): the words of a document that a slot reads, counted from its first word."""
     parts = placed.filter("size > 0").select("key", "ordinal", "size", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block"))
     both = parts.join(chosen.hint("merge"), ["key", "block"])  # its size isn't known to the planner, so never broadcast
     start = F.greatest(F.col("offset"), F.col("block") * block)
     end = F.least(F.col("offset") + F.col("size"), F.col("block") * block + F.col("take"))
-    return both.select("key", "ordinal", "pass", "shard", (start - F.col("offset")).alias("from"), (end - start).alias("words")).filter("words > 0")
+    return both.select("key", "ordinal", "pass", "shard", "slot", (start - F.col("offset")).alias("from"), (end - start).alias("words")).filter("words > 0")
 
 
 def mix(docs: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 20260714) -> DataFrame:
-    """docs(doc_id, source, size) -> doc_id, size, source_size, target, taken."""
+    """docs(doc_id, source, size) -> doc_id, size, source_size, target, taken, and the first and last output shard of its words (null: none)."""
     placed, targets = _prepared(docs)
     pieces = taken_pieces(placed, slots(targets, block, shard_slots, seed), block)
-    taken = pieces.groupBy("key", "ordinal").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("key", "ordinal").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     out = placed.join(taken, ["key", "ordinal"], "left").join(targets.select("key", "source_size", "target"), "key")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -102,22 +157,24 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-def stage_mix(spark, docs: DataFrame, sf_dir: str, block: int = 512, seed: int = 20260714) -> DataFrame:
+def stage_mix(spark, docs: DataFrame, sf_dir: str, block: int = 512, shard_slots: int = 256, seed: int = 20260714) -> DataFrame:
     """The mixture as documents: for each pass over a document one row with the words taken in that pass, in order.
 
     A document taken whole keeps its text as it is; of one taken in part the taken runs of words are joined by spaces.
+    Rows lie by output shard, that of their first words: a shard is in one file.
     """
     w = words(F.col("text"))
     rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("lang"), F.col("source"))
     placed, targets = _prepared(docs.select(rid.alias("doc_id"), "source", F.size(w).cast("long").alias("size")))
-    pieces = taken_pieces(placed, slots(targets, block, 4096, seed), block)
-    per_pass = pieces.groupBy("key", "ordinal", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "words"))).alias("runs"), F.sum("words").alias("taken"))
+    pieces = taken_pieces(placed, slots(targets, block, shard_slots, seed), block)
+    runs = F.array_sort(F.collect_list(F.struct("from", "words", "shard")))
+    per_pass = pieces.groupBy("key", "ordinal", "pass").agg(runs.alias("runs"), F.sum("words").alias("taken"))
     named = per_pass.join(placed.select("key", "ordinal", "doc_id", "size"), ["key", "ordinal"])
     copies = F.row_number().over(Window.partitionBy("doc_id", "pass").orderBy("ordinal"))
     plan = named.select(F.col("doc_id").alias("_rid"), "pass", "runs", (F.col("taken") == F.col("size")).alias("whole"), copies.alias("_copy"))
     same = Window.partitionBy("_rid").orderBy("doc_id")
     numbered = packed(docs).withColumn("_rid", rid).withColumn("_copy", F.row_number().over(same))
     text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " "))
-    out = numbered.join(plan, ["_rid", "_copy"]).withColumn("text", text)
-    out = unpacked(out, docs.columns)
+    out = numbered.join(plan, ["_rid", "_copy"]).withColumn("text", text).withColumn("_shard", F.col("runs")[0]["shard"]).drop("runs")
+    out = unpacked(out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_shard"), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
