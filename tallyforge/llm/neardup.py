@@ -14,8 +14,11 @@ of its shingle incidence, and only links that join two groups leave the block. S
 without all pairs being made. At similarity 0.8, 28 bands of 4 miss a pair with probability 4e-7, and a signature of 128
 slots underrates it by 0.15 with probability 1e-5 at most.
 
+Blocks hold at most about `block` rows and block_shingles shingles a side, but for one text that is longer by itself.
+
 Nulls and texts without words: empty set, linked with nothing, kept. A null doc_id is compared as any other value of its
-column (null last). Repeated rows share a set and thus a group. Empty tables give empty results; other columns pass.
+column (null last). Repeated rows share a set and thus a group; the stage keeps one of them. Ties: of texts with the same
+smallest doc_id the one with the smaller hash stays. Empty tables give empty results; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -184,13 +187,22 @@ class _Groups:
         return a != b
 
 
-def _fitting(rows: DataFrame, reps: DataFrame, percent: int, slack: float, block: int, best: bool) -> DataFrame:
-    """rows(key, band, node, component, main, outer, members) of open buckets -> pairs that signature and size allow.
+def _dealt(df: DataFrame, parts: int):
+    """df by block, in a number of partitions that adaptive execution leaves alone: rows are few bytes but much work."""
+    return df.repartition(parts, "key", "i", "j").groupBy("key", "i", "j")
+
+
+def _parts(spark, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 4096)
+
+
+def _fitting(rows: DataFrame, reps: DataFrame, percent: int, slack: float, block: int, best: bool, parts: int, block_shingles: int = 2_000_000) -> DataFrame:
+    """rows(key, band, node, component, main, outer, members, outer_n, members_n) of open buckets -> pairs that signature and size allow.
 
     Members outside a bucket's main group, in blocks, meet all its members, in blocks; no task holds a whole bucket.
     best: (a, b), best first, one pair for two groups; else (key, i, j, node, component) of all nodes in such pairs.
     """
-    full = rows.join(reps.select("node", "n", "sig"), "node").withColumns({"_i": F.ceil(F.col("outer") / block).cast("int"), "_j": F.ceil(F.col("members") / block).cast("int")})
+    full = rows.join(reps.select("node", "n", "sig"), "node").withColumns({f"_{x}": F.ceil(F.greatest(F.col(rows_) / block, F.col(f"{rows_}_n") / block_shingles)).cast("int") for x, rows_ in (("i", "outer"), ("j", "members"))})
     kept = ["key", "band", "node", "component", "n", "sig"]
     spot = F.xxhash64("node", "key")
     left = full.filter("component <> main").select(*kept, F.lit(0).alias("side"), F.pmod(spot, F.col("_i")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_j") - 1)).alias("j"))
@@ -224,10 +236,10 @@ def _fitting(rows: DataFrame, reps: DataFrame, percent: int, slack: float, block
         here = [x.as_py() for x in key]
         return pa.table([pa.array([here[0]] * len(some), pa.int64()), pa.array([here[1]] * len(some), pa.int32()), pa.array([here[2]] * len(some), pa.int32()), pa.array([nodes[x] for x in some], pa.binary()), pa.array([names[x] for x in some], pa.binary())], names=["key", "i", "j", "node", "component"])
 
-    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(work, schema)
+    return _dealt(left.unionByName(right), parts).applyInArrow(work, schema)
 
 
-def _settled(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _settled(members: DataFrame, texts: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     """members(key, i, j, node, component) of blocks -> links (a, b) between different groups, by full sets of all pairs."""
 
     def work(key, table):
@@ -258,7 +270,7 @@ def _settled(members: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
         out = [(nodes[p], nodes[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True) if groups.join(int(comps[p]), int(comps[q]))]
         return pa.table([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
 
-    return members.join(texts, "node").groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary")
+    return _dealt(members.join(texts, "node"), parts).applyInArrow(work, "a binary, b binary")
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack: float = 0.15, salts: int = 16, block: int = 1024) -> DataFrame:
@@ -279,15 +291,16 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4, percent: int = 80, slack:
     texts = materialize(_texts_of(buckets.select("node").distinct(), docs, reps), "near-texts")
     verified = lambda p: materialize(_verified(p, texts, k, percent).filter("ok").select("a", "b"), "near-links")
     labels = materialize(components(verified(pairs)), "near-labels")
-    rows = buckets.select("key", "band", "node")
+    rows = buckets.select("key", "band", "node", F.col("n").alias("w"))
     for best in (True, False):
         named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = named.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("members"), F.count("*").alias("groups"))
-        opened = sizes.filter("groups > 1").select("key", F.col("m.component").alias("main"), (F.col("members") - F.col("m.c")).alias("outer"), "members")
+        sizes = named.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
+        sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "component", "w")).alias("m"), F.sum("c").alias("members"), F.sum("w").alias("members_n"), F.count("*").alias("groups"))
+        opened = sizes.filter("groups > 1").select("key", F.col("m.component").alias("main"), (F.col("members") - F.col("m.c")).alias("outer"), "members", (F.col("members_n") - F.col("m.w")).alias("outer_n"), "members_n")
         open_rows = materialize(named.join(opened, "key"), "near-open")
-        rows = open_rows.select("key", "band", "node")
-        fits = materialize(_fitting(open_rows, reps, percent, slack, block, best), "near-fitting")
-        good = verified(fits.distinct()) if best else materialize(_settled(fits, texts, k, percent), "near-links")
+        rows = open_rows.select("key", "band", "node", "w")
+        fits = materialize(_fitting(open_rows, reps, percent, slack, block, best, _parts(docs.sparkSession, open_rows.count())), "near-fitting")
+        good = verified(fits.distinct()) if best else materialize(_settled(fits, texts, k, percent, _parts(docs.sparkSession, 16 * fits.count())), "near-links")
         # groups found so far stand for their links, so that edges don't pile up
         labels = materialize(components(good.union(labels.select("node", "component"))), "near-labels")
     named = reps.select("node", "doc_id")
@@ -307,10 +320,29 @@ def op7_superminhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest doc_id (null last) and text hash."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest doc_id (null last) and text hash.
+
+    Of rows that repeat in doc_id and text one stays; texts without words all stay.
+    """
     groups = near_duplicate_groups(docs.select("doc_id", "text"), k=5)
-    grouped = groups.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("th").alias("_th"))).alias("r")).select("r.doc_id", "r._th")
-    kept = grouped.union(groups.filter("component is null").select("doc_id", "th")).distinct()
-    kept = kept.withColumnRenamed("doc_id", "_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("th").alias("_th"))
+    grouped = groups.filter("component is not null").groupBy("component").agg(F.min(order).alias("r"))
+    grouped = grouped.select("r.doc_id", "r._th", F.lit(True).alias("_one"))
+    kept = grouped.union(groups.filter("component is null").select("doc_id", "th", F.lit(False)).distinct())
+    kept = materialize(kept.withColumnRenamed("doc_id", "_id"), "near-kept")
     rows = packed(docs).withColumn("_h", F.xxhash64("text"))
-    return unpacked(rows.join(kept, rows.doc_id.eqNullSafe(kept._id) & rows._h.eqNullSafe(kept._th), "left_semi"), docs.columns)
+    found = rows.join(kept, rows.doc_id.eqNullSafe(kept._id) & rows._h.eqNullSafe(kept._th))
+    return unpacked(_first_of_repeats(found.drop("_id", "_th"), groups), docs.columns)
+
+
+def _first_of_repeats(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """found without further rows of the same doc_id and text; only where such rows exist are any rows gathered."""
+    again = groups.filter("component is not null").groupBy("doc_id", "th").count().filter("count > 1")
+    again = materialize(again.select(F.col("doc_id").alias("_again"), F.col("th").alias("_again_th")), "near-repeats")
+    if again.isEmpty():
+        return found
+    match = found.doc_id.eqNullSafe(again._again) & found._h.eqNullSafe(again._again_th)
+    repeats = found.filter("_one").join(again, match, "left_semi")
+    columns = [c for c in repeats.columns if c not in ("doc_id", "_h")]
+    one = repeats.groupBy("doc_id", "_h").agg(F.first(F.struct(*columns)).alias("x")).select("doc_id", "_h", "x.*")
+    return found.join(again, match, "left_anti").unionByName(one).unionByName(found.filter("not _one").join(again, match, "left_semi"))
