@@ -37,16 +37,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver forget finished plans, so that executors delete their shuffle files now and not at some later collection."""
+    """Lets the driver forget finished plans, so that executors delete their shuffle files now and not at some later collection.
+
+    What Python and Arrow have freed goes back to the system too, as far as the C library can do that.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
+def made() -> int:
+    """How many tables materialize() has made and release() hasn't deleted: a mark for release()."""
+    return len(_MADE)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() has made in this process; call once results are written."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that materialize() has made in this process since a mark, but for the last `keep`; call once results are written."""
     jvm = spark.sparkContext._jvm
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    gone = _MADE[since : len(_MADE) - keep]
+    del _MADE[since : len(_MADE) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

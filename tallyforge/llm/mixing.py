@@ -161,7 +161,7 @@ def stage_mix(spark, docs: DataFrame, sf_dir: str, block: int = 512, shard_slots
     """The mixture as documents: for each pass over a document one row with the words taken in that pass, in order.
 
     A document taken whole keeps its text as it is; of one taken in part the taken runs of words are joined by spaces.
-    Rows lie by output shard, that of their first words: a shard is in one file.
+    Within each file rows lie by output shard, that of their first words.
     """
     w = words(F.col("text"))
     rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("lang"), F.col("source"))
@@ -176,5 +176,5 @@ def stage_mix(spark, docs: DataFrame, sf_dir: str, block: int = 512, shard_slots
     numbered = packed(docs).withColumn("_rid", rid).withColumn("_copy", F.row_number().over(same))
     text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " "))
     out = numbered.join(plan, ["_rid", "_copy"]).withColumn("text", text).withColumn("_shard", F.col("runs")[0]["shard"]).drop("runs")
-    out = unpacked(out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_shard"), docs.columns)
+    out = unpacked(out.sortWithinPartitions("_shard"), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
