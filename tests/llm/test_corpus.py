@@ -275,7 +275,7 @@ def test_licences(spark):
         "id int, path string, text string",
     )
     got = collections.Counter(tuple(r)[:4] for r in licences.licences(files).select("id", "licence", "method", "source_path").collect())
-    assert got == collections.Counter([(1, "MIT", "file", "a/LICENSE"), (2, "MIT", "inherited", "a/LICENSE"), (3, "Apache-2.0", "header", "a/b/y.txt"), (4, None, None, None), (5, "CC-BY-NC-4.0", "file", None), (6, "MIT", "inherited", "a/LICENSE"), (6, "MIT", "inherited", "a/LICENSE")])
+    assert got == collections.Counter([(1, "MIT", "file", "a/LICENSE"), (2, "MIT", "inherited", "a/LICENSE"), (3, "Apache-2.0", "header", "a/b/y.txt"), (4, None, None, None), (5, "CC-BY-NC-4.0", "header", None), (6, "MIT", "inherited", "a/LICENSE"), (6, "MIT", "inherited", "a/LICENSE")])
     assert licences.licences(files.filter("false")).count() == 0
 
 
