@@ -26,7 +26,7 @@ from .common import materialize
 
 #: Notices by which files name their licence.
 NOTICES = {
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "SPDX-License-Identifier: Apache-2.0",
