@@ -14,8 +14,10 @@ carries a fingerprint of either side for that. The windows of such runs alone ar
 fingerprints, in the same way: first per chunk of documents, then per bucket.
 
 Strings are judged on the input. Order of starts is (doc_id, text hash where ids repeat, byte); a null doc_id comes
-first, and rows that repeat in full are one document. Null and empty texts have no bytes. Runs and windows are told
-apart by 96 to 128 bits of fingerprints. Empty tables give empty results.
+first, and rows that repeat in full are one document (ties have no order). Ids must be integers. Null and empty texts have no bytes. Very long
+texts are a batch and a chunk of their own. Runs are told apart by 64 bits of all their bytes and 32 of their anchor's, and where a
+side is complete 32 more; windows by 64 bits and 32 of their first half. Columns other than doc_id and text aren't read.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from .common import BYTE64, free_shuffles, materialize, mix64, text_batches
 GRAM = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_FIELDS = ("key", "left", "right", "doc", "th", "start", "run")
-_TYPES = (np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int32, np.uint8)
+_FIELDS = ("key", "group", "left", "right", "doc", "th", "start", "run")
+_TYPES = (np.uint64, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.int32, np.uint8)
 _NO_ID = -(2**63)
 
 
@@ -111,6 +113,10 @@ class Entries:
         return Entries(*out)
 
 
+def _same_string(a: Entries, b: Entries) -> np.ndarray:
+    return (a.key == b.key) & (a.group == b.group) & (a.left == b.left) & (a.right == b.right)
+
+
 def _same_place(a: Entries, b: Entries) -> np.ndarray:
     return (a.doc == b.doc) & (a.th == b.th) & (a.start == b.start)
 
@@ -129,15 +135,15 @@ class Family:
     def add(self, batch: Entries) -> None:
         if not len(batch):
             return
-        batch = batch.take(np.lexsort((batch.start, batch.th, batch.doc, batch.key)))
-        new = np.concatenate(([True], batch.key[1:] != batch.key[:-1]))
+        batch = batch.take(np.lexsort((batch.start, batch.th, batch.doc, batch.right, batch.left, batch.group, batch.key)))
+        new = np.concatenate(([True], ~_same_string(batch.take(slice(1, None)), batch.take(slice(None, -1)))))
         head = batch.take(np.maximum.accumulate(np.where(new, np.arange(len(batch)), 0)))
         self.gone.append(batch.take(~new & ~_same_place(batch, head)))
         batch = batch.take(new)
         for i, level in enumerate(self.levels):
             at = np.minimum(np.searchsorted(level.key, batch.key), len(level) - 1)
             twin = level.take(at)
-            equal = (twin.key == batch.key) & (twin.left == batch.left) & (twin.right == batch.right)
+            equal = _same_string(twin, batch)
             here = equal & _earlier(batch, twin)
             self.gone.append(batch.take(equal & _earlier(twin, batch)))
             if here.any():  # the level's entry starts later: it goes, and the batch's takes its place
@@ -210,15 +216,15 @@ def indexed(docs: DataFrame, length: int, buckets: int, chunks: int) -> DataFram
         for table in text_batches(batches, 1_000_000):
             _, data, starts, doc, th = _bytes_of(table)
             text, first, last, anchor, h, ranges = window_runs(data, starts, length)
-            # the place of the anchor picks the bucket, in the top bits of the key
-            body = mix64(ranges(first, last + length) + (anchor - first).astype(np.uint64) * _P + h)
-            key = (mix64(h) & np.uint64(0xFFFFFF0000000000)) | (body & np.uint64(0xFFFFFFFFFF))
+            # all bytes of the run make the key; the anchor's bytes the group, which picks the bucket
+            key = mix64(ranges(first, last + length) + (anchor - first).astype(np.uint64) * _P + h)
+            group = mix64(h) >> np.uint64(32)
             side = lambda ok, a, b: np.where(ok, (ranges(np.where(ok, a, 0), np.where(ok, b, 0)) >> np.uint64(32)) | np.uint64(1), 0)  # noqa: E731, B023
             left = side(anchor - first >= reach, anchor - reach, anchor + GRAM)
             right = side(anchor - last <= reach, anchor, anchor + GRAM + reach)
-            family.add(Entries(key, left, right, doc[text], th[text], first - starts[text], last - first))
+            family.add(Entries(key, group, left, right, doc[text], th[text], first - starts[text], last - first))
         for kind, e in ((GONE, family.removed()), (EDGE, family.survivors())):
-            yield from _rows((b, kind, x) for b, x in _split(e, _bucket(e.key, buckets))).to_batches()
+            yield from _rows((b, kind, x) for b, x in _split(e, _bucket(e.group, buckets))).to_batches()
 
     def merged(table):
         family = Family()
@@ -230,13 +236,24 @@ def indexed(docs: DataFrame, length: int, buckets: int, chunks: int) -> DataFram
                 family.add(entries)
         kept, gone = family.survivors(), family.removed()
         edge = kept.take(_shares(kept.left) | _shares(kept.right))
-        return _rows([(c, GONE, e) for c, e in _split(gone, gone.doc % chunks)] + [(c, EDGE, e) for c, e in _split(edge, edge.doc % chunks)])
+        return _rows([(c, GONE, e) for c, e in _split(gone, _chunk(gone.doc, chunks))] + [(c, EDGE, e) for c, e in _split(edge, _chunk(edge.doc, chunks))])
 
     return docs.select("doc_id", "th", "text").mapInArrow(batch, PACKED).groupBy("at").applyInArrow(merged, PACKED)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+def _bucket(groups: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(groups.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _chunk(docs: np.ndarray, chunks: int) -> np.ndarray:
+    """pmod(xxhash64(doc_id), chunks), as the engine has it for a long: ids with a common stride fill all chunks alike."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turn(docs.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), chunks)
 
 
 def _finished(part: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str]:
@@ -290,7 +307,7 @@ def compared(docs: DataFrame, found: DataFrame, length: int, buckets: int) -> Da
             whole = begin[np.searchsorted(names, owner[low:high])][base] + place
             ranges = RangeHash(data)
             hashes, half = ranges(whole, whole + length), ranges(whole, whole + length // 2) >> np.uint64(32)
-            family.add(Entries(hashes, half, np.zeros(len(base)), e.doc[base], e.th[base], place, np.zeros(len(base))))
+            family.add(Entries(hashes, half, np.zeros(len(base)), np.zeros(len(base)), e.doc[base], e.th[base], place, np.zeros(len(base))))
             low = high
         more = Entries.concat([gone, family.removed()])
         ranges = _by_document(more, length)
@@ -333,7 +350,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, chunk_bytes: int = 4_00
     buckets = max(4, chunks)
     once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("th"))
-    rows = rows.withColumn("chunk", F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)), F.lit(chunks).cast("long")).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))), F.lit(chunks).cast("long")).cast("int"))
     stage = materialize(compared(rows, indexed(rows, length, buckets, chunks), length, buckets), "strings-stage")
     free_shuffles(docs.sparkSession)  # the text and the entries have been shuffled for the stage only
     done = stage.filter("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -343,7 +360,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, chunk_bytes: int = 4_00
         for data in table.column("data").to_pylist():
             family.add(Entries.unpack(data))
         gone = family.removed()
-        return _rows((c, GONE, e) for c, e in _split(gone, gone.doc % chunks))
+        return _rows((c, GONE, e) for c, e in _split(gone, _chunk(gone.doc, chunks)))
 
     late = stage.filter("at is not null").select("at", "data").groupBy("at").applyInArrow(windows, PACKED)
 

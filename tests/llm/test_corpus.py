@@ -122,7 +122,7 @@ def test_family_levels_are_logarithmic():
     for i in range(64):
         k = rng.randint(0, 2**40, 100).astype(np.uint64)
         z = np.zeros(100)
-        family.add(substrings.Entries(k, z, z, z + i, z, np.arange(100), z))
+        family.add(substrings.Entries(k, z, z, z, z + i, z, np.arange(100), z))
     assert len(family.levels) <= 8 and sum(map(len, family.levels)) + len(family.removed()) == 6400
 
 
@@ -306,3 +306,9 @@ def test_leaks_are_searched_as_far_as_they_are_accepted(spark):
     pairs = lambda d, c: {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(d, b, c).collect() if x["doc_id"] < 0}
     got, want = pairs(rest.union(planted), None), pairs(planted, -1.0)
     assert got <= want and len(want) > 150 and len(got) >= 0.975 * len(want)  # 0.963 with one threshold of 0.52
+
+
+def test_chunks_agree_with_the_engine(spark):
+    ids = np.array([0, 1, -5, 2**62, -(2**63), 64, 128, 192], np.int64)
+    got = [r[0] for r in spark.createDataFrame([(int(x),) for x in ids], "d long").select(F.pmod(F.xxhash64("d"), F.lit(7).cast("long"))).collect()]
+    assert substrings._chunk(ids, 7).tolist() == got
