@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -55,10 +56,12 @@ def bad_ids(rows: DataFrame, key: str, pattern: str | None = None) -> DataFrame:
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): smallest node reachable, by label propagation with pointer jumping; checkpoints cut the lineage."""
     spark = edges.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # tests; a cluster names its shared folder
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        conf = spark.sparkContext.getConf()
+        shared = conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())  # a folder of its own in tests only
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = e.union(e.select("y", "x")).distinct().checkpoint()
     labels = e.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("c")).withColumnRenamed("x", "node").checkpoint()

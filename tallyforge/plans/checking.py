@@ -31,11 +31,11 @@ def register_tiers(t):
 
 
 def owners(t):
-    f = t.lineitem.filter("l_quantity >= 45").join(t.records.select(F.col("record_id").alias("l_orderkey"), "official_id", "yr"), "l_orderkey")
+    f = t.lineitem.join(t.records.select(F.col("record_id").alias("l_orderkey"), "official_id", "yr"), "l_orderkey")
     return V.owner_summary(f, "l_suppkey", "l_orderkey", "official_id", "yr")
 
 
-OWNERS = """with f as (select l_suppkey, l_orderkey, o_custkey, cast(year(o_orderdate) as int) yr from lineitem join orders on o_orderkey = l_orderkey where l_quantity >= 45), d as (select distinct l_suppkey, l_orderkey from f),
+OWNERS = """with f as (select l_suppkey, l_orderkey, o_custkey, cast(year(o_orderdate) as int) yr from lineitem join orders on o_orderkey = l_orderkey), d as (select distinct l_suppkey, l_orderkey from f),
 p as (select a.l_suppkey, count(distinct b.l_suppkey) c from d a join d b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey group by 1)
 select f.l_suppkey, count(distinct l_orderkey) records, count(distinct o_custkey) projects, min(yr) first_year, max(yr) last_year, coalesce(max(p.c), 0) shared_with from f left join p using (l_suppkey) group by 1"""
 

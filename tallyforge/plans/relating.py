@@ -67,10 +67,16 @@ select record_id, concat_ws('; ', max(case when method = 'survey' then 'survey'
 
 
 def component_query(t):
-    """Customers linked by buying the same rare part: components over (part, supplier) pairs of small suppliers."""
-    e = t.lineitem.filter("l_quantity >= 49").join(t.records.select(F.col("record_id").alias("l_orderkey"), "official_id"), "l_orderkey").select((F.col("official_id") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
-    c = I.connected(e)
-    return c.groupBy("component").agg(F.count("*").alias("nodes"))
+    """Customers and suppliers linked through their nations: components of all three tables, each with its size."""
+    node = lambda key, kind: F.col(key).cast("long") * 3 + kind
+    e = t.customer.select(node("c_custkey", 0).alias("a"), node("c_nationkey", 2).alias("b"))
+    e = e.unionByName(t.supplier.select(node("s_suppkey", 1).alias("a"), node("s_nationkey", 2).alias("b")))
+    return I.connected(e).groupBy("component").agg(F.count("*").alias("nodes"))
+
+
+#: Links go through nations only, so a nation's customers, suppliers and itself are one component.
+COMPONENTS = """with e as (select c_custkey * 3 a, c_nationkey n from customer union all select s_suppkey * 3 + 1, s_nationkey from supplier)
+select cast(least(min(a), n * 3 + 2) as bigint) component, count(distinct a) + 1 nodes from e group by n"""
 
 
 def greedy(t):
@@ -96,7 +102,7 @@ QUERIES = [
     ("j03_overlay", lambda t: R.overlay(t.customer.select("c_custkey", "c_mktsegment"), t.orders.filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderkey"), ["c_custkey"], ["c_mktsegment"], ["o_orderkey"]), "with r as (select o_custkey, arg_min(o_orderpriority, o_orderkey) p from orders where o_totalprice > 450000 group by 1) select c_custkey, coalesce(p, c_mktsegment) c_mktsegment from customer left join r on c_custkey = o_custkey"),
     ("j04_outer_origin", lambda t: R.outer_with_origin(*[x.select("o_orderkey") for x in old_and_new(t)], "o_orderkey").groupBy("origin").agg(F.count("*").alias("n")), SNAP + " select case when n.o_orderkey is null then 'left_only' when o.o_orderkey is null then 'right_only' else 'both' end origin, count(*) n from o full join n on o.o_orderkey = n.o_orderkey group by 1"),
     ("j05_semi", lambda t: t.customer.join(t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey"), "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')"),
-    ("j06_anti", lambda t: t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders)"),
+    ("j06_anti", lambda t: t.customer.join(t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')"),
     ("j07_marked", lambda t: R.marked(t.part.select("p_partkey"), t.lineitem.filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "bulk"), "select p_partkey, p_partkey in (select l_partkey from lineitem where l_quantity = 50) bulk from part"),
     ("j08_key_sets", quantity_gate, "with a as (select distinct l_orderkey k from lineitem), b as (select o_orderkey k from orders) select (select count(*) from a where k not in (from b)) only_a, (select count(*) from b where k not in (from a)) only_b, (select count(*) from a where k in (from b)) common"),
     ("j09_fallback_lookup", lambda t: R.fallback_lookup(t.part.select("p_partkey", "p_type"), F.array("p_type", F.regexp_extract("p_type", "^[A-Z]+", 0)), _dim(t), "collection", "method", "method"), f"with {DIM_SQL} select p_partkey, p_type, coalesce(a.method, b.method) as method from part left join dim a on p_type = a.collection left join dim b on regexp_extract(p_type, '^[A-Z]+') = b.collection"),
@@ -115,7 +121,7 @@ QUERIES = [
     ("u01_union_distinct", lambda t: t.customer.select(F.col("c_nationkey").alias("k")).unionByName(t.supplier.select(F.col("s_nationkey").alias("k"))).distinct(), "select c_nationkey k from customer union select s_nationkey from supplier"),
     ("u03_ordered_union", lambda t: R.ordered_union(t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").withColumn("pos", F.struct("l_linenumber", "l_partkey")), "l_orderkey", "p_brand", "pos", F.lower("p_brand"), ","), "with f as (select l_orderkey, p_brand, min((l_linenumber, l_partkey)) pos from lineitem join part on l_partkey = p_partkey group by 1, 2) select l_orderkey, string_agg(p_brand, ',' order by pos) p_brand, count(*) \"values\" from f group by 1"),
     ("u04_in_all", lambda t: R.in_all(t.lineitem, "l_partkey", "l_returnflag", 3), "select l_partkey from lineitem group by 1 having count(distinct l_returnflag) = 3"),
-    ("u06_set_difference", lambda t: t.part.select(F.col("p_partkey").alias("k")).exceptAll(t.lineitem.select(F.col("l_partkey").alias("k")).distinct()), "select p_partkey k from part except select l_partkey from lineitem"),
+    ("u06_set_difference", lambda t: t.part.select(F.col("p_partkey").alias("k")).exceptAll(t.lineitem.filter("l_quantity = 50").select(F.col("l_partkey").alias("k")).distinct()), "select p_partkey k from part except select l_partkey from lineitem where l_quantity = 50"),
     ("d07_snapshot_diff", lambda t: R.snapshot_diff(*old_and_new(t), "o_orderkey", ["o_orderstatus", "o_orderpriority"]), DIFF + " select * from d where status <> 'same'"),
     ("d07_impact", lambda t: R.impact(R.snapshot_diff(*old_and_new(t), "o_orderkey", ["o_orderstatus", "o_orderpriority"])), DIFF + " select count(*) filter (status = 'added') added, count(*) filter (status = 'removed') removed, count(*) filter (status = 'changed') changed, case when count(*) filter (status <> 'same') = 0 then 'none' else 'changed' end impact from d"),
     ("d07_multiset_diff", lambda t: R.multiset_diff(t.orders.filter("o_orderkey % 5 <> 0").select("o_custkey", "o_orderstatus"), t.orders.select("o_custkey", "o_orderstatus"), "o_custkey", ["o_orderstatus"]), "with o as (select o_custkey, string_agg(o_orderstatus, '' order by o_orderstatus) s from orders where o_orderkey % 5 <> 0 group by 1), n as (select o_custkey, string_agg(o_orderstatus, '' order by o_orderstatus) s from orders group by 1) select n.o_custkey, case when o.s is null then 'added' else 'changed' end status, case when o.s is null then '' else 'o_orderstatus' end \"columns\" from n left join o using (o_custkey) where o.s is null or o.s <> n.s"),
@@ -123,9 +129,9 @@ QUERIES = [
     ("v18_work_status", lambda t: R.work_status(t.orders.select("o_orderkey", T.fingerprint("o_orderpriority", "o_orderstatus").alias("fp")), old_and_new(t)[1].select("o_orderkey", T.fingerprint("o_orderpriority", "o_orderstatus").alias("fp")), "o_orderkey", "fp").groupBy("status").agg(F.count("*").alias("n")), SNAP + " select case when n.o_orderkey is null then 'missing' when n.o_orderstatus = a.o_orderstatus then 'cached' else 'stale' end status, count(*) n from orders a left join n using (o_orderkey) group by 1"),
     ("i01_duplicate_tiers", tiers, TIERS),
     ("i03_bad_ids", lambda t: I.bad_ids(t.orders.select(F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit(" "), F.col("o_custkey"))).otherwise(F.col("o_orderkey").cast("string")).alias("k")), "k").groupBy("problem").agg(F.count("*").alias("n")), "with k as (select case when o_orderkey % 50 = 0 then ' ' || o_custkey else o_orderkey::varchar end k from orders), c as (select k, count(*) over (partition by k) n from k) select case when trim(k) <> k then 'untrimmed' else 'repeated' end problem, count(*) n from c where trim(k) <> k or n > 1 group by 1"),
-    ("i06_components", component_query, None),
+    ("i06_components", component_query, COMPONENTS),
     ("h01_greedy_cover", greedy, None),
-    ("h04_incidence", lambda t: I.incidence_rows(t.lineitem.filter("l_quantity = 50"), "l_suppkey", "l_partkey"), "with e as (select distinct l_suppkey, l_partkey from lineitem where l_quantity = 50) select substr(sha256(l_suppkey::varchar), 1, 16) owner_key, l_partkey, count(*) over (partition by l_suppkey) degree from e"),
+    ("h04_incidence", lambda t: I.incidence_rows(t.lineitem, "l_suppkey", "l_partkey"), "with e as (select distinct l_suppkey, l_partkey from lineitem) select substr(sha256(l_suppkey::varchar), 1, 16) owner_key, l_partkey, count(*) over (partition by l_suppkey) degree from e"),
     ("a31_degrees", lambda t: I.degree_distribution(t.lineitem, "l_suppkey", "l_partkey"), "with d as (select l_suppkey, count(distinct l_partkey) degree from lineitem group by 1) select degree, count(*) owners from d group by 1"),
     ("a23_coverage", lambda t: A.coverage(t.mentions, "dataset", t.part.filter("p_size < 25").select("p_name"), "p_name"), f"{WITH}, k as (select distinct p_name from part where p_size < 25) select count(*) mentions, count(*) filter (dataset in (from k)) matched_mentions, count(distinct dataset) entities, count(distinct dataset) filter (dataset in (from k)) matched_entities from mention"),
     ("a24_review", lambda t: A.review(t.mentions, "product", t.part.filter("p_size < 10").select("p_brand"), "p_brand").select("product", "mentions", "records", "first_record", "examples", "matched"), f"{WITH}, p as (select product, record_id, count(*) c, row_number() over (partition by product order by record_id) r from mention group by 1, 2) select product, cast(sum(c) as bigint) mentions, count(*) records, min(record_id) first_record, string_agg(record_id::varchar, ',' order by record_id) filter (r <= 10) examples, product in (select p_brand from part where p_size < 10) matched from p group by 1"),
