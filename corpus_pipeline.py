@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm.common import materialize
+from tallyforge.llm.common import made, materialize, release
 from tallyforge.llm.decontaminate import stage_decontaminate
 from tallyforge.llm.mixing import stage_mix
 from tallyforge.llm.neardup import stage_near_dedup
@@ -25,8 +25,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents; each result but the last is written and read again, and what it was made from is deleted."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since=mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
