@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the driver forget finished plans, so that executors delete their shuffle files now and not at some later collection.
 
-    What Python and Arrow have freed goes back to the system too, as far as the C library can do that.
+    What Python, Arrow and the JVM's native side have freed goes back to the system too, as far as the C library can do that.
     """
     import ctypes
 
@@ -50,6 +51,24 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Asks the driver's JVM to return freed native memory (compiler, network and codec buffers): a diagnostic command of the JDK, where it has it."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    types = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    given = new(jvm.java.lang.Class, len(types))
+    for i, t in enumerate(types):
+        given[i] = jvm.java.lang.Class.forName(t)
+    call = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", given)  # the class of the server itself isn't open to callers
+    args = new(jvm.java.lang.Object, 4)
+    args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    args[1], args[2], args[3] = "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+    try:
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # a JVM without the command keeps what it has freed
+        pass
 
 
 def made() -> int:
