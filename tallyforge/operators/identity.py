@@ -94,24 +94,6 @@ def blocked_pairs(rows: DataFrame, key: str, blocks: list[str], keep) -> DataFra
     return left.join(right, on).filter(keep).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
 
 
-def similar_names(rows: DataFrame, name: str, ratio: float = 0.85) -> DataFrame:
-    """Pairs of distinct names with a common first word that contain each other or whose sequence ratio is above the limit."""
-    import pandas as pd
-
-    def ratios(a, b):
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    ratios.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    close = F.pandas_udf(ratios, "double")
-
-    d = rows.select(T.casefold(T.collapse(name)).alias("k")).filter("k <> ''").distinct().withColumn("w", F.split("k", " ")[0])
-    pairs = d.alias("l").join(d.alias("r"), (F.col("l.w") == F.col("r.w")) & (F.col("l.k") < F.col("r.k"))).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
-    scored = pairs.withColumn("ratio", close("a", "b"))
-    return scored.filter(F.col("b").contains(F.col("a")) | (F.col("ratio") > ratio))
-
-
 def greedy_cover(incidence: DataFrame, owner: str, item: str, steps: int) -> list[tuple]:
     """Greedy maximum cover: (owner, newly covered, covered so far) for each step; ties by total, then by name.
 

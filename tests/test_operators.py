@@ -165,11 +165,6 @@ def test_append_only(spark):
     assert {tuple(r) for r in I.append_only(old, new, "s").collect()} == {(2, "changed"), (4, "gap")}
 
 
-def test_similar_names(spark):
-    got = I.similar_names(spark.createDataFrame([("Labour Force",), ("labour  force",), ("Labour Forces",), ("Health",)], "n string"), "n")
-    assert [(r["a"], r["b"]) for r in got.collect()] == [("labour force", "labour forces")]
-
-
 def test_mixed_dates(spark):
     rows = spark.createDataFrame([("2020",), ("2020-Q3",), ("2020-05",), ("2020-05-06",), ("soon",), (None,)], "x string")
     assert [r[0] for r in rows.select(U.mixed_date(F.col("x"))).collect()] == [dt.date(2020, 1, 1), dt.date(2020, 7, 1), dt.date(2020, 5, 1), dt.date(2020, 5, 6), None, None]
