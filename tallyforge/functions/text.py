@@ -51,6 +51,11 @@ def members(x: str | Column, separator: str = ";") -> Column:
     return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), separator), strip), lambda s: s != "")
 
 
+def ordered_distinct(x: str | Column, separator: str = ";") -> Column:
+    """members, each where it comes first."""
+    return F.array_distinct(members(x, separator))
+
+
 def repaired(x: str | Column, fixes: dict[str, str]) -> Column:
     """Fixed substitutions (regex -> text) in order."""
     return reduce(lambda c, kv: F.regexp_replace(c, kv[0], kv[1]), fixes.items(), _c(x))
@@ -192,3 +197,8 @@ def html_text():
 def title_case():
     """Python's title case: a capital after every non-letter."""
     return _series(lambda s: s.str.title())
+
+
+def title_text(x: str | Column, fixes: dict[str, str]) -> Column:
+    """Known damage repaired, entities decoded, white space collapsed."""
+    return collapse(html_text()(repaired(x, fixes)))

@@ -143,13 +143,16 @@ def krippendorff(ratings: DataFrame, unit: str, value: str, distance: Distance)
     kept = ratings.filter(F.col(value).isNotNull()).select(unit, F.col(value).alias("v"))
     cells = kept.groupBy(unit, "v").agg(F.count("*").alias("c"))
     per = cells.groupBy(unit).agg(F.sum("c").alias("m"), F.collect_list(F.struct("v", "c")).alias("x")).filter("m >= 2")
+    nominal = distance is nominal_distance  # then both sums are a square less the sum of squares: no pairs at all
     weight = lambda a, b: distance(a["v"], b["v"]) * a["c"] * b["c"]
     within = F.aggregate(F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: weight(a, b)))), F.lit(0.0), lambda s, d: s + d)
+    within = F.col("m") * F.col("m") * F.lit(1.0) - F.aggregate("x", F.lit(0.0), lambda s, a: s + a["c"] * a["c"]) if nominal else within
     units = per.select("m", (within / (F.col("m") - 1)).alias("d"))
     observed = units.agg(F.count("*").alias("units"), F.sum("m").alias("ratings"), F.sum("d").alias("_d"))
     values = per.select(F.explode("x").alias("x")).groupBy(F.col("x.v").alias("v")).agg(F.sum("x.c").alias("c"))
     other = values.select(F.col("v").alias("w"), F.col("c").alias("k"))
-    expected = values.join(other, F.col("v") != F.col("w")).agg(F.sum(distance(F.col("v"), F.col("w")) * F.col("c") * F.col("k")).alias("_e"))
+    squares = F.sum("c").cast("double") * F.sum("c") - F.sum(F.col("c").cast("double") * F.col("c"))
+    expected = values.agg(squares.alias("_e")) if nominal else values.join(other, F.col("v") != F.col("w")).agg(F.sum(distance(F.col("v"), F.col("w")) * F.col("c") * F.col("k")).alias("_e"))
     both = observed.crossJoin(expected)
     n = F.col("ratings")
     both = both.withColumns({"observed": F.col("_d") / n, "expected": F.coalesce("_e", F.lit(0.0)) / (n * (n - 1))})

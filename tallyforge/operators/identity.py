@@ -134,5 +134,9 @@ def append_only(old: DataFrame, new: DataFrame, step: str) -> DataFrame:
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     changed = kept.filter(~same).select(F.col(step).alias("step"), F.lit("changed").alias("problem"))
-    gaps = new.select(F.col(step).alias("step"), F.lag(step).over(Window.orderBy(step)).alias("p")).filter("p is not null and step <> p + 1").select("step", F.lit("gap").alias("problem"))
+    steps = new.select(F.col(step).alias("step")).filter("step is not null")
+    first = steps.agg(F.min("step").alias("_first"))  # one row
+    alone = steps.join(steps.select((F.col("step") + 1).alias("step")).distinct(), "step", "left_anti")
+    repeated = steps.groupBy("step").agg(F.count("*").alias("_n")).filter("_n > 1").select("step")
+    gaps = alone.distinct().crossJoin(F.broadcast(first)).filter("step <> _first").select("step").unionAll(repeated).select("step", F.lit("gap").alias("problem"))
     return changed.unionAll(gaps)

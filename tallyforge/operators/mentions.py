@@ -19,10 +19,10 @@ def header_mentions(rows: DataFrame, key: str, text: str, protected: list[str] =
     start = F.struct(F.lit(None).cast("string").alias("h"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
 
     def step(s, line):
-        head = F.regexp_extract(line, r"^([^:]{1,200}):", 1)
+        head = F.regexp_extract(line, r"^([^:]+):", 1)
         has = head != ""
         h = F.when(has, T.strip(head)).otherwise(s["h"])
-        rest = F.when(has, T.strip(F.regexp_replace(line, r"^[^:]{1,200}:", ""))).otherwise(line)
+        rest = F.when(has, T.strip(F.regexp_replace(line, r"^[^:]+:", ""))).otherwise(line)
         one = F.array(F.struct(s["n"].alias("line"), h.alias("header"), rest.alias("rest")))
         return F.struct(h.alias("h"), (s["n"] + 1).alias("n"), F.concat(s["out"], one).alias("out"))
 
@@ -68,8 +68,8 @@ def dropped_lines(rows: DataFrame, key: str, text: str, mentions: DataFrame) ->
 def counts_from_text(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Headers and parts of each text, without exploding: (key, n_headers, n_parts)."""
     arr = T.lines(text)
-    heads = F.size(F.array_distinct(F.filter(F.transform(arr, lambda x: F.regexp_extract(x, r"^([^:]{1,200}):", 1)), lambda h: h != "")))
-    parts = F.size(F.filter(F.flatten(F.transform(arr, lambda x: F.split(F.regexp_replace(x, r"^[^:]{1,200}:", ""), "[,;]"))), lambda p: T.strip(p) != ""))
+    heads = F.size(F.array_distinct(F.filter(F.transform(arr, lambda x: F.regexp_extract(x, r"^([^:]+):", 1)), lambda h: h != "")))
+    parts = F.size(F.filter(F.flatten(F.transform(arr, lambda x: F.split(F.regexp_replace(x, r"^[^:]+:", ""), "[,;]"))), lambda p: T.strip(p) != ""))
     return rows.select(key, heads.alias("n_headers"), parts.alias("n_parts"))
 
 
@@ -118,3 +118,20 @@ def ranked_suffix(rows: DataFrame, official: str, order: list[str], out: str = "
     rank = F.row_number().over(w.orderBy(*order))
     many = F.count("*").over(w) > 1
     return rows.withColumn(out, F.when(many, F.concat(F.col(official).cast("string"), F.lit("/"), T.row_suffix(rank))).otherwise(F.col(official).cast("string")))
+
+
+def plain_name_counts(rows: DataFrame, key: str, text: str, aliases: dict[str, str], stop: list[str]) -> DataFrame:
+    """(name, mentions, records) by the plain split: folded, cut at newlines and ';', 'provider:' dropped, cut at ','."""
+    pieces = F.transform(F.split(F.lower(text), "[\n;]"), lambda p: F.regexp_replace(p, "^[^:]*:", ""))
+    parts = F.flatten(F.transform(pieces, lambda p: F.transform(F.split(p, ","), T.strip)))
+    found = rows.select(key, F.explode(parts).alias("name"))
+    shown = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in aliases.items()], F.col("name"))
+    kept = found.withColumn("name", shown).filter((F.col("name") != "") & ~F.col("name").isin(*stop))
+    return kept.groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct(key).alias("records"))
+
+
+def collection_records(mentions: DataFrame, records: DataFrame, collection: str, chosen: list[str], date: str, before: str, record: str = "record_id") -> DataFrame:
+    """Distinct records dated before a day that mention each of the chosen collections."""
+    old = records.filter(F.col(date) < F.lit(before).cast("date")).select(record)
+    kept = mentions.filter(F.col(collection).isin(*chosen)).select(record, collection)
+    return kept.join(old, record, "left_semi").groupBy(collection).agg(F.countDistinct(record).alias("records"))

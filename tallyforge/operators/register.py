@@ -84,3 +84,15 @@ def providers(names: DataFrame, name: str, aliases: DataFrame, environments: Dat
     out = names.withColumn("_k", T.casefold(T.collapse(name))).join(a, "_k", "left").join(e, F.col(environment) == F.col("_env"), "left")
     unknown = F.col(name).isNull() | (T.strip(name) == "") | (F.col("_k") == "unknown")
     return out.withColumn("provider", F.coalesce("_a", F.when(unknown, F.col("_b")), T.collapse(name))).drop("_k", "_a", "_b", "_env")
+
+
+def mention_table(records: DataFrame, key: str, text: str, environment: str, aliases: DataFrame, provider_aliases: DataFrame, environments: DataFrame, blocked: list[str], allowed: list[str] = (), protected: list[str] = ()) -> DataFrame:
+    """(key, line, header, part, dataset, match_type, needs_review, provider): one row for each valid mention in a record's text.
+
+    Lines are parsed under their headers, parts take their canonical name, invalid names go, and providers come from the
+    header or, where that is unknown, from the record's environment. key is unique in records.
+    """
+    found = M.header_mentions(records, key, text, protected)
+    named = found.join(M.canonical(found, "part", aliases), "part").withColumnRenamed("canonical", "dataset")
+    valid = named.filter(M.valid_part("dataset", blocked, allowed)).join(records.select(key, F.col(environment).alias("_where")), key)
+    return providers(valid, "header", provider_aliases, environments, "_where").select(key, "line", "header", "part", "dataset", "match_type", "needs_review", "provider")

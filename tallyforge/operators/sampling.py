@@ -63,8 +63,10 @@ def assert_disjoint(samples: DataFrame, key: str, sample: str) -> None:
 
 def audit(done: DataFrame, mandatory: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """A random share of the finished ids (rounded up) and all mandatory ones, with how each came in."""
-    n = F.ceil(F.count("*").over(Window.partitionBy()) * share)
-    picked = done.select(key).distinct().withColumn("_n", n).withColumn("_r", F.row_number().over(Window.orderBy(order_key(seed, key), key))).filter("_r <= _n").select(key, F.lit(True).alias("random"))
+    import math
+
+    ids = done.select(key).distinct()
+    picked = ids.orderBy(order_key(seed, key), key).limit(math.ceil(ids.count() * share)).select(key, F.lit(True).alias("random"))
     out = picked.join(mandatory.select(key, F.lit(True).alias("mandatory")).distinct(), key, "full_outer")
     return out.na.fill(False, ["random", "mandatory"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import agreement as G
 from ..operators import counts as C
 from ..operators import profile as P
-from .bind import PAIRS, RATINGS, REGIONS
+from .bind import PAIRS, RATINGS, REGIONS, run_sql
 
 
 def pairs(t):
@@ -82,6 +82,9 @@ def bootstrap(t):
     return G.bootstrap_interval(means, "mean", 200)
 
 
+INSTABILITY = PAIRS + f""", {run_sql('rc', 1, 2)}, {run_sql('rd', 3, 7)}, x as (select coalesce(p.record_id, q.record_id) k, coalesce(p.a <> p.b, false) p, coalesce(q.f, false) q from pr p full join (select rc.record_id, rc.s <> rd.s f from rc join rd using (record_id)) q on p.record_id = q.record_id)
+select count(*) filter (p) intra, count(*) filter (q) inter, count(*) filter (p and q) "both", count(*) filter (p or q) either, count(*) filter (p and q) / cast(nullif(count(*) filter (p or q), 0) as double) jaccard from x"""
+
 QUERIES = [
     ("r05_set_algebra", lambda t: pairs(t).select("record_id", "domains_exact", "domains_jaccard", F.round(G.masi_distance(F.col("domains_a"), F.col("domains_b")), 9).alias("masi")), PAIRS + " select record_id, a = b domains_exact, i / cast(u as double) domains_jaccard, round(1 - i / cast(u as double) * case when i = u then 1e0 when i = 0 then 0e0 when i = least(len(a), len(b)) then 2e0 / 3 else 1e0 / 3 end, 9) masi from pr"),
     ("m14_agreement_rates", lambda t: G.agreement_rates(pairs(t), "domains").withColumn("mean_jaccard", F.round("mean_jaccard", 9)), PAIRS + " select count(*) n, count(*) filter (a = b) exact, round(avg(i / cast(u as double)), 9) mean_jaccard, count(*) filter (a = b) / cast(count(*) as double) exact_rate from pr"),
@@ -89,7 +92,7 @@ QUERIES = [
     ("m16_substitutions", lambda t: G.substitutions(pairs(t), "domains"), PAIRS + " select array_to_string(a, '; ') a, array_to_string(b, '; ') b, count(*) n from pr where a <> b group by all"),
     ("m17_contested", lambda t: G.contested(pairs(t), "domains", t.spark.createDataFrame([(r,) for r in [*REGIONS, "NOWHERE"]], "label string"), "label"), PAIRS + f", v as (select unnest({[*REGIONS, 'NOWHERE']}) \"label\"), x as (select \"label\", count(*) filter (list_contains(a, \"label\") and list_contains(b, \"label\")) \"both\", count(*) filter (list_contains(a, \"label\") and not list_contains(b, \"label\")) only_a, count(*) filter (not list_contains(a, \"label\") and list_contains(b, \"label\")) only_b, count(*) n from v, pr group by 1) select \"label\", \"both\", only_a, only_b, n - \"both\" - only_a - only_b neither, (only_a + only_b) / cast(nullif(\"both\" + only_a + only_b, 0) as double) contested from x"),
     ("m18_confusion", lambda t: G.confusion(pairs(t), "domains"), PAIRS + " select case when len(a) = 1 and len(b) = 1 then a[1] end a, case when len(a) = 1 and len(b) = 1 then b[1] end b, count(*) n from pr group by 1, 2"),
-    ("m15_instability", lambda t: G.instability(pairs(t).select("record_id", (~F.col("domains_exact")).alias("flag")), G.paired(t.run(1, 2), t.run(3, 7), "record_id", ["domains"]).select("record_id", (~F.col("domains_exact")).alias("flag")), "record_id"), None),
+    ("m15_instability", lambda t: G.instability(pairs(t).select("record_id", (~F.col("domains_exact")).alias("flag")), G.paired(t.run(1, 2), t.run(3, 7), "record_id", ["domains"]).select("record_id", (~F.col("domains_exact")).alias("flag")), "record_id"), INSTABILITY),
     ("m19_trials", trials, TRIALS),
     ("m09_majority_labels", lambda t: G.majority_labels(t.ratings, "record_id", "rater", "labels"), f"with {RATINGS}, x as (select record_id, unnest(labels) \"label\" from ratings) select record_id, \"label\", count(*) votes from x group by all having count(*) >= 2"),
     ("m10_set_patterns", lambda t: G.set_pattern(t.ratings, "record_id", "rater", "labels").groupBy("pattern").agg(F.count("*").alias("n")), f"with {RATINGS}, k as (select record_id, count(distinct rater) r, count(distinct array_to_string(labels, '|')) k from ratings group by 1) select case k when 1 then 'unanimous' when 2 then 'two_vs_one' else 'all_distinct' end \"pattern\", count(*) n from k where r = 3 group by 1"),

@@ -41,6 +41,12 @@ class Tables:
         m = self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         return m.select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("line_no"), F.col("p_name").alias("dataset"), F.col("p_brand").alias("product"), F.col("p_type").alias("collection"), F.col("s_name").alias("provider"), F.col("r_name").alias("domain"))
 
+    @cached_property
+    def products(self) -> DataFrame:
+        """mentions without provider and domain: only parts are joined."""
+        m = self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+        return m.select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("line_no"), F.col("p_name").alias("dataset"), F.col("p_brand").alias("product"), F.col("p_type").alias("collection"))
+
     @cached_property
     def labels(self) -> DataFrame:
         """(record_id, domain): which domains a record touches; only keys are joined."""

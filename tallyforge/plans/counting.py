@@ -15,6 +15,9 @@ cnt as (select rec.yr, lab.domain, count(*) n from rec join lab using (record_id
 select cell.yr, cell.domain, coalesce(cnt.n, 0) n, cell.total, coalesce(cnt.n, 0) / cast(cell.total as double) share from cell left join cnt using (yr, domain)"""
 COOC = f"""{WITH}, pair as (select a.domain a, b.domain b, count(*) n from lab a join lab b on a.record_id = b.record_id and a.domain <> b.domain group by all),
 solo as (select min(domain) a, min(domain) b from lab group by record_id having count(*) = 1), diag as (select a, b, count(*) n from solo group by all)"""
+CLOSED = f"""{WITH}, k as (select * from lab where domain <> 'EUROPE'), s as (select record_id, count(*) c from k group by 1), v as (select unnest({REGIONS}) r),
+n as (select x.domain a, y.domain b, count(*) n from k x join k y using (record_id) join s using (record_id) where x.domain <> y.domain or c = 1 group by all)
+select p.r a, q.r b, coalesce(n, 0) n from v p cross join v q left join n on a = p.r and b = q.r"""
 ADOPT = f"""{WITH}, cal as (select cast(unnest(generate_series(cast((select min(q) from rec) as timestamp), cast((select max(q) from rec) as timestamp), interval 3 month)) as date) period),
 tot as (select q period, count(*) total from rec group by all), use as (select distinct record_id, collection line, product from mention),
 n as (select line, q period, count(distinct record_id) projects, count(*) requests from use join rec using (record_id) group by all), st as (select line, min(period) start from n group by all)
@@ -27,11 +30,11 @@ def label_trend(t):
 
 
 def adoption(t):
-    return U.adoption(t.mentions.select("record_id", F.col("collection").alias("line"), "product"), t.records, "line", "product", "d")
+    return U.adoption(t.products.select("record_id", F.col("collection").alias("line"), "product"), t.records, "line", "product", "d")
 
 
 def demand(t):
-    m = t.mentions.select("record_id", F.col("product").alias("line"))
+    m = t.products.select("record_id", F.col("product").alias("line"))
     return U.demand(m, t.records, "line", "d", "1996-01-01")
 
 
@@ -93,27 +96,27 @@ QUERIES = [
     ("a01_year_counts", lambda t: C.period_counts(t.records, "yr"), "select cast(year(o_orderdate) as int) yr, count(*) n from orders group by all"),
     ("a01_quarter_counts", quarter_counts, "select cast(date_trunc('quarter', o_orderdate) as date) q, count(*) n from orders group by all"),
     ("a02_environment_share", lambda t: C.shares(t.records, "environment"), "select trim(o_orderpriority) environment, count(*) n, cast(sum(count(*)) over () as bigint) total, count(*) / cast(sum(count(*)) over () as double) share from orders where trim(o_orderpriority) <> '' group by 1"),
-    ("a03_entity_records", lambda t: C.distinct_records(t.mentions, "dataset"), f"{WITH} select dataset, count(distinct record_id) records, count(*) mentions from mention group by all"),
-    ("a04_top_entities_by_year", lambda t: C.top_entities_by_period(t.mentions.join(t.records.select("record_id", "yr"), "record_id"), "product", "yr", 5), f"{WITH}, m as (select product, yr, record_id from mention join rec using (record_id)), top as (select product from m group by all order by count(distinct record_id) desc, product limit 5) select product, yr, count(distinct record_id) records from m where product in (from top) group by all"),
-    ("a05_headline", lambda t: C.headline(t.records, t.mentions), f"{WITH}, a as (select official_id, count(*) c, min(yr) lo, max(yr) hi from rec group by all) select cast((select sum(c) from a) as bigint) records, (select count(*) from a) official_ids, (select count(*) from a where c > 1) repeated_ids, (select min(lo) from a) first_year, (select max(hi) from a) last_year, (select count(*) from mention) mentions, (select count(distinct record_id) from mention) records_with_mentions, (select count(*) from (select distinct record_id, product from mention)) requests"),
+    ("a03_entity_records", lambda t: C.distinct_records(t.products, "dataset"), f"{WITH} select dataset, count(distinct record_id) records, count(*) mentions from mention group by all"),
+    ("a04_top_entities_by_year", lambda t: C.top_entities_by_period(t.products.join(t.records.select("record_id", "yr"), "record_id"), "product", "yr", 5), f"{WITH}, m as (select product, yr, record_id from mention join rec using (record_id)), top as (select product from m group by all order by count(distinct record_id) desc, product limit 5) select product, yr, count(distinct record_id) records from m where product in (from top) group by all"),
+    ("a05_headline", lambda t: C.headline(t.records, t.products), f"{WITH}, a as (select official_id, count(*) c, min(yr) lo, max(yr) hi from rec group by all) select cast((select sum(c) from a) as bigint) records, (select count(*) from a) official_ids, (select count(*) from a where c > 1) repeated_ids, (select min(lo) from a) first_year, (select max(hi) from a) last_year, (select count(*) from mention) mentions, (select count(distinct record_id) from mention) records_with_mentions, (select count(*) from (select distinct record_id, product from mention)) requests"),
     ("a06_label_totals", lambda t: C.label_totals(t.labels, "domain"), f"{WITH} select domain, count(*) n from lab group by all"),
     ("a06_label_items", lambda t: C.label_totals(t.labels, "domain", once=False), f"{WITH} select domain, count(*) n from mention group by all"),
     ("a07_label_trend", label_trend, TREND),
     ("a08_ordered_totals", lambda t: C.ordered_totals(t.records, "environment", ["5-LOW", "1-URGENT"]), "with n as (select o_orderpriority environment, count(*) n from orders group by all) select environment, n, cast(row_number() over (order by case environment when '5-LOW' then 1 when '1-URGENT' then 2 else 3 end, environment) as int) place from n"),
     ("a09_zero_filled_linkage", zero_filled_linkage, "with r as (select cast(year(o_orderdate) as int) yr, o_orderstatus basis from orders where trim(o_orderstatus) <> ''), g as (select y.yr, b.basis, y.total from (select yr, count(*) total from r group by all) y cross join (select distinct basis from r) b) select g.yr, g.basis, count(r.basis) n, g.total from g left join r on r.yr = g.yr and r.basis = g.basis group by all"),
-    ("a10_crosstab", lambda t: X.crosstab(t.labels, t.mentions, "domain", "collection").select("domain", "collection", "n"), f"{WITH} select domain, collection, count(*) n from lab join (select distinct record_id, collection from mention) using (record_id) group by all"),
+    ("a10_crosstab", lambda t: X.crosstab(t.labels, t.products, "domain", "collection").select("domain", "collection", "n"), f"{WITH} select domain, collection, count(*) n from lab join (select distinct record_id, collection from mention) using (record_id) group by all"),
     ("a10_crosstab_wide", lambda t: X.crosstab_wide(t.labels, t.records, "domain", "basis", ["F", "O", "P"]), f"{WITH} select domain, count(*) filter (basis = 'F') as \"F\", count(*) filter (basis = 'O') as \"O\", count(*) filter (basis = 'P') as \"P\" from lab join rec using (record_id) group by all"),
     ("a11_row_share", lambda t: X.crosstab(t.labels, t.records, "domain", "environment"), f"{WITH}, n as (select domain, environment, count(*) n from lab join rec using (record_id) group by all) select domain, environment, n, cast(sum(n) over (partition by domain) as bigint) row_total, n / cast(sum(n) over (partition by domain) as double) row_share from n"),
     ("a12_cooccurrence", lambda t: X.cooccurrence(t.labels, "domain"), COOC + " select * from pair union all select * from diag"),
-    ("a13_closed_cooccurrence", lambda t: X.cooccurrence(t.labels, "domain", ("EUROPE",), t.spark.createDataFrame([(r,) for r in REGIONS], "domain string")), None),
+    ("a13_closed_cooccurrence", lambda t: X.cooccurrence(t.labels, "domain", ("EUROPE",), t.spark.createDataFrame([(r,) for r in REGIONS], "domain string")), CLOSED),
     ("a14_conditional_share", lambda t: X.conditional_share(t.labels, "domain"), COOC + ", tot as (select domain a, count(*) total from lab group by all) select a, b, n, total, n / cast(total as double) p from pair join tot using (a)"),
     ("h05_served_pairs", lambda t: X.served_pairs(t.mentions, "product", "domain"), f"{WITH}, u as (select distinct product, domain from mention) select x.domain a, y.domain b, count(*) units from u x join u y on x.product = y.product and x.domain < y.domain group by all"),
     ("a15_tag_prevalence", tag_share, f"{WITH} select domain, count(*) filter (environment like '1%') tagged, count(*) total, count(*) filter (environment like '1%') / cast(count(*) as double) share from lab join rec using (record_id) group by all having count(*) filter (environment like '1%') > 0"),
     ("a16_tag_by_year", lambda t: C.label_trend(t.records, t.records.select("record_id", "environment"), "environment", "yr").select("yr", "environment", "n", "total"), "with r as (select cast(year(o_orderdate) as int) yr, o_orderpriority environment from orders) select y.yr, e.environment, count(r.yr) n, y.total from (select yr, count(*) total from r group by all) y cross join (select distinct environment from r) e left join r on r.yr = y.yr and r.environment = e.environment group by all"),
-    ("a17_first_seen", lambda t: C.first_seen(t.mentions.join(t.records.select("record_id", "d"), "record_id"), "product", "d"), f"{WITH} select product, min(d) first_seen from mention join rec using (record_id) group by all"),
+    ("a17_first_seen", lambda t: C.first_seen(t.products.join(t.records.select("record_id", "d"), "record_id"), "product", "d"), f"{WITH} select product, min(d) first_seen from mention join rec using (record_id) group by all"),
     ("a18_adoption", adoption, ADOPT),
     ("a19_demand", demand, f"{WITH}, m as (select distinct record_id, product line from mention), n as (select line, count(*) projects, min(d) start from m join rec using (record_id) group by all), x as (select line, projects, cast(greatest(date_diff('day', greatest(start, date '1996-01-01'), (select max(d) from rec)), 0) as int) \"days\" from n) select line, projects, \"days\", projects * 365.25e0 / nullif(\"days\", 0) per_year from x"),
-    ("a20_top_and_other", lambda t: C.top_n_and_other(C.distinct_records(t.mentions, "dataset").select("dataset", "mentions"), "dataset", "mentions", 15), f"{WITH}, n as (select dataset, count(*) mentions, row_number() over (order by count(*) desc, dataset) r from mention group by dataset) select case when r <= 15 then dataset else 'Other' end dataset, cast(sum(mentions) as bigint) mentions from n group by 1"),
+    ("a20_top_and_other", lambda t: C.top_n_and_other(C.distinct_records(t.products, "dataset").select("dataset", "mentions"), "dataset", "mentions", 15), f"{WITH}, n as (select dataset, count(*) mentions, row_number() over (order by count(*) desc, dataset) r from mention group by dataset) select case when r <= 15 then dataset else 'Other' end dataset, cast(sum(mentions) as bigint) mentions from n group by 1"),
     ("a21_pivot_total", lambda t: C.pivoted(t.records.select(F.col("q").cast("string").alias("q"), "basis"), "q", "basis", ["F", "O", "P"]), "select strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') q, count(*) filter (o_orderstatus = 'F') as \"F\", count(*) filter (o_orderstatus = 'O') as \"O\", count(*) filter (o_orderstatus = 'P') as \"P\", count(*) filter (o_orderstatus in ('F', 'O', 'P')) as \"Total\" from orders group by all"),
     ("a21_rollup", rollup, "select cast(year(o_orderdate) as int) yr, o_orderstatus basis, count(*) n, cast(grouping_id(cast(year(o_orderdate) as int), o_orderstatus) as int) as \"level\" from orders group by rollup (cast(year(o_orderdate) as int), o_orderstatus)"),
     ("a22_year_summary", complete_year_summary, "with q as (select date_trunc('quarter', o_orderdate) q, count(*) n from orders group by all) select cast(year(q) as int) yr, cast(sum(n) as bigint) total, count(*) periods from q group by 1 having count(*) = 4"),

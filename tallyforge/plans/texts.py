@@ -33,6 +33,11 @@ def dated_links(t):
 
 
 _S = r"[ \t\n\r\x0B\f]"  # what the cleaned column treats as space in these tables
+#: Parts of the text of each turn.
+PARTS = r"""with p as (select conv_id, role, regexp_replace(unnest(string_split_regex(replace(replace(text, chr(10), ' '), ':', ' '), '[,;]| & ')), '^\s+|\s+$', '', 'g') part from conversations)"""
+_BITS = [f"('0x' || substr(h, {i * 5 // 4 + 1}, 3))::int >> {7 - i * 5 % 4} & 31" for i in range(12)]
+TOKENS = f"with d as (select n_nationkey, sha256('ns' || chr(31) || n_name) h from nation) select n_nationkey, {' || '.join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({b}) + 1, 1)" for b in _BITS)} as token from d"
+
 QUERIES = [
     ("p02_duplicate_key", lambda t: t.part.select("p_partkey", T.duplicate_key(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" <b>x</b>\r\n"))).alias("k")), "select p_partkey, lower(p_name) || ' x' k from part"),
     ("p03_single_line", lambda t: t.documents.select("doc_id", F.sha2(T.single_line("text"), 256).alias("h")), f"select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '_x000D_', ' ', 'g'), '<[^>]*>', ' ', 'g'), '{_S}+', ' ', 'g'))) h from documents"),
@@ -48,9 +53,9 @@ QUERIES = [
     ("p25_vocabulary_labels", lambda t: t.orders.select("o_orderkey", F.lower("o_orderpriority").alias("k")).join(t.spark.createDataFrame([("1-urgent", "Urgent"), ("2-high", "High")], "k string, label string"), "k", "left").groupBy(F.coalesce("label", F.lit("Unclear")).alias("label")).agg(F.count("*").alias("n")), "select case lower(o_orderpriority) when '1-urgent' then 'Urgent' when '2-high' then 'High' else 'Unclear' end \"label\", count(*) n from orders group by 1"),
     ("p26_question_key", lambda t: t.benchmark.select("item_id", T.question_key(F.concat(F.lit("1.2. "), "text")).alias("k")), "select item_id, trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '[^\\p{L}\\p{N}]+', ' ', 'g')) k from benchmark"),
     ("p28_entity_kind", lambda t: t.supplier.select(M.entity_kind("s_name", ["supplier"]).alias("kind")).unionAll(t.nation.select(M.entity_kind("n_name", ["supplier"]))).groupBy("kind").agg(F.count("*").alias("n")), "select case when s_name ilike '%supplier%' then 'organisation' else 'ambiguous' end kind, count(*) n from (select s_name from supplier union all select n_name from nation) group by 1"),
-    ("p29_tokens", lambda t: t.nation.select("n_nationkey", T.token("n_name", namespace="ns").alias("token")), None),
+    ("p29_tokens", lambda t: t.nation.select("n_nationkey", T.token("n_name", namespace="ns").alias("token")), TOKENS),
     ("p30_text_counts", lambda t: M.counts_from_text(turns(t), "conv_id", "t").select("conv_id", "n_headers"), f"with {TURNS} select conv_id, cast(len(list_distinct(list_transform(string_split(t, chr(10)), lambda x: split_part(x, ':', 1)))) as int) n_headers from turns"),
-    ("e01_header_mentions", carried, None),
+    ("e01_header_mentions", carried, PARTS + " select role \"header\", count(*) parts, count(distinct conv_id) records from p where part <> '' group by 1"),
     ("e01_lines_of_turns", lambda t: M.header_mentions(turns(t), "conv_id", "t", separators="\x00").groupBy("header").agg(F.countDistinct("conv_id", "line").alias("lines")), "select role \"header\", count(*) \"lines\" from conversations where trim(replace(replace(text, chr(10), ' '), ':', ' ')) <> '' group by 1"),
     ("e07_people", lambda t: M.people(t.customer.select("c_custkey", F.concat(F.lit("Ann Lee, "), "c_name", F.lit("\nBo Ek; ann lee")).alias("c_name")), "c_custkey", "c_name", ["customer"]).groupBy("kind").agg(F.count("*").alias("n")), "select kind, count(*) n from (select unnest(['person', 'person', 'organisation']) kind from customer) group by 1"),
     ("r01_members", lambda t: t.part.select("p_partkey", F.array_join(T.members(F.replace("p_name", F.lit(" "), F.lit(" ; ; "))), "|").alias("m")), "select p_partkey, replace(p_name, ' ', '|') m from part"),

@@ -183,3 +183,18 @@ def dated(names: list[str], word: str = "project") -> str:
     if not kept or any(date(n) is None for n in kept):
         raise GateError("no name, or several of which some have no date")
     return max(kept, key=date)
+
+
+def bundle(spark: SparkSession, folder: str, tables: dict[str, list[str]]) -> dict[str, tuple[DataFrame, bool]]:
+    """Name -> (rows, available) of the CSV files of a folder; a missing file or column gives no rows and False."""
+    out = {}
+    for name, columns in tables.items():
+        try:
+            found = spark.read.csv(f"{folder}/{name}.csv", header=True, multiLine=True, escape='"')
+        except Exception as e:  # noqa: BLE001  a missing path is an expected state
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            found = None
+        ok = found is not None and set(columns) <= set(found.columns)
+        out[name] = (found.select(*columns) if ok else spark.createDataFrame([], _strings(columns)), ok)
+    return out

@@ -1,5 +1,6 @@
 """Similar names against all pairs compared one by one."""
 
+import os
 import random
 import re
 from difflib import SequenceMatcher
@@ -7,8 +8,11 @@ from itertools import combinations
 
 import pytest
 
+from tallyforge import plans
 from tallyforge.operators import naming as N
 
+DIR = os.environ.get("TALLYFORGE_DATA", "/root/testdata/sf0.001")
+
 NAMES = ["The Labour Force Survey", "Labour Force Survey", "Labour Force", "labour force survey", "Office for National Statistics", "National Statistics", "Haelth Records", "Health Records", "Health", "Crime Survey Data", "Crime  survey", "Ab", "ab", "A", "Births Register", "Birth Register System", "zz", "", "  ", "Widgets \u00e9t\u00e9", "Widgets et\u00e9"]
 
 
@@ -65,3 +69,11 @@ def test_renamed_and_order(spark):
     rows = spark.createDataFrame([("Office", "b", 1), ("Other", "a", 2), (None, "c", 3)], "n string, kind string, c int")
     assert [r["n"] for r in N.renamed(rows, "n", approved).orderBy("c").collect()] == ["Office (O)", "Other", None]
     assert [r["kind"] for r in N.review_order(rows, "kind", ["c", "b"], "c", "n").collect()] == ["c", "b", "a"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_clusters_of_the_query(spark):
+    t = plans.Tables(spark, DIR)
+    names = {r[0] for r in plans.naming.names(t).collect()}
+    got = {r["name"]: r["cluster"] for r in plans.QUERIES["j15_name_clusters"](spark, DIR).collect()}
+    assert got and got == components(names)

@@ -91,3 +91,10 @@ def test_idempotent_stream(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
     session = streams.drained(streams.sessions(spark.readStream.schema("id int, ts timestamp").parquet(f"file://{src}/events.parquet").withColumn("u", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)), "ts", "u", "2 hours"), "sess", "complete")
     assert session.first()["n"] == 2
+
+
+def test_bundle_says_what_is_missing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("x\n1\n")
+    got = S.bundle(spark, str(tmp_path), {"a": ["x"], "b": ["x", "z"], "c": ["x"]})
+    assert {k: (v.count(), v.columns, ok) for k, (v, ok) in got.items()} == {"a": (1, ["x"], True), "b": (0, ["x", "z"], False), "c": (0, ["x"], False)}
