@@ -66,6 +66,15 @@ def sketches(measured: DataFrame, by: list[str], rates=RATES) -> DataFrame:
     return measured.select(*by, named).select(*by, "_x.metric", "_x.bin").groupBy(*by, "metric", "bin").agg(F.count("*").alias("n"))
 
 
+def quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
+    """One row per (by, metric) of sketches: rows and the quantile for each name in at, the rows of a bin lying evenly in it."""
+    group = Window.partitionBy(*by, "metric")
+    run = sketch.withColumns({"_run": F.sum("n").over(group.orderBy("bin")), "rows": F.sum("n").over(group)})
+    wide = F.expr("power(2, greatest(length(bin(cast(bin as bigint))) - 6, 0))")
+    value = lambda p: F.col("bin") + wide * (F.col("rows") * p - F.col("_run") + F.col("n")) / F.col("n")
+    return run.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("_run") >= F.col("rows") * p, value(p))).alias(name) for name, p in at.items()])
+
+
 def merged_with_parents(sketch: DataFrame, prior: int = PRIOR, scale: int = 1000) -> DataFrame:
     """(lang_key, source_key, metric, bin, n) -> the same for every group, n in parts of `scale`, with `prior` rows of each parent."""
     parts = [sketch.select("lang_key", "source_key", "metric", "bin", (F.col("n") * scale).alias("n"))]
