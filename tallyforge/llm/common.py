@@ -43,15 +43,20 @@ def free_shuffles(spark: SparkSession) -> None:
 
     What Python, Arrow and the JVM's native side have freed goes back to the system too, as far as the C library can do that.
     """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    trim_worker()
+    trim_jvm(spark)
+
+
+def trim_worker() -> None:
+    """Gives what this Python process has freed back to the system; a worker of an executor waits, with its memory, for later tasks."""
     import ctypes
 
     import pyarrow as pa
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
-    trim_jvm(spark)
 
 
 def trim_jvm(spark: SparkSession) -> None:

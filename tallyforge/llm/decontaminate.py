@@ -1,14 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed to features; idf comes from all documents. A randomised SVD of TF-IDF passages - benchmark segments and
-passages of a bounded sample of documents - is computed by distributed products with the passage table: subspace
-iteration with A'(AQ), orthogonalised here. Every document is cut into overlapping passages of 32 words, each projected
+Words are hashed to features; idf comes from all documents. A randomised SVD of TF-IDF passages - those of every
+benchmark item and of every document - is computed by distributed products with the passage table: subspace iteration
+over the items gives the subspace to begin with, two products A'(AQ) with all passages give the space (Nystroem's
+approximation of A'A from the second). Every document is cut into overlapping passages of 32 words, each projected
 into the latent space and compared by cosine with all benchmark segments. Passages above a segment's threshold are
 candidates: the cosine that the least common subsequence still accepted gives in the worst position (least_cosine), so
 the search is as wide as the check behind it, less one deviation of random cosines in the latent space. Runs of candidates are checked by the longest common subsequence with the whole item, and paraphrases (shorter common
 subsequence) by whether the item's answer, its last sentence, is found there too.
 
-The fit sees every item, fit_items a task, and a sample of fit_documents documents; every document and item is searched.
+The fit sees every item and document, about fit_words words a task, kept as features of two bytes a word; sums of tasks are
+added in their order. Every document and item is searched.
 The benchmark is compared in blocks of segments, each a broadcast of bounded size of which a task holds one at a time
 where there are many. Texts are never shuffled.
 
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, joined_bytes, materialize, packed, text_batches, unpacked, word_hashes
+from .common import free_shuffles, joined_bytes, materialize, packed, text_batches, trim_worker, unpacked, word_hashes
 
 BITS = 16
 FEATURES = 1 << BITS
@@ -36,109 +38,190 @@ def _feature(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents each feature occurs, and the number of documents: one array of fixed size a task, summed in slices."""
+def feature_rows(texts: DataFrame) -> DataFrame:
+    """(features, first): the features of a batch of texts, as uint16, and the place of each text's first word and the end, as int64."""
 
     def work(batches):
         import pyarrow as pa
 
-        df, rows = np.zeros(FEATURES, np.int64), 0
-        for table in text_batches(batches):
+        for table in text_batches(batches, 2_000_000):
             hashes, _, first = word_hashes(*joined_bytes(table.column("text")))
-            owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            both = (owner << BITS) | _feature(hashes)
-            both = np.sort(both.astype(np.uint32) if table.num_rows <= 1 << (32 - BITS) else both)  # short keys sort fast
-            both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
-            df += np.bincount(both & (FEATURES - 1), minlength=FEATURES)
-            rows += table.num_rows
-        yield pa.table([pa.array(range(SLICES), pa.int32()), [x.tobytes() for x in df.reshape(SLICES, -1)], [rows] * SLICES], names=["slice", "x", "rows"]).to_batches()[0]
+            yield pa.record_batch([pa.array([_feature(hashes).astype(np.uint16).tobytes()], pa.binary()), pa.array([first.astype(np.int64).tobytes()], pa.binary())], names=["features", "first"])
+        trim_worker()
+
+    return texts.select("text").mapInArrow(work, "features binary, first binary")
+
+
+def _read(table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(f, np.uint16).astype(np.int64), np.frombuffer(x, np.int64)) for f, x in zip(table.column("features").to_pylist(), table.column("first").to_pylist(), strict=True)]
+
+
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """In how many texts of feature_rows each feature occurs, the number of texts and that of words: one array of fixed size a task, summed in slices."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        df, texts, words = np.zeros(FEATURES, np.int64), 0, 0
+        for batch in batches:
+            for f, first in _read(batch):
+                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                both = (owner << BITS) | f
+                both = np.sort(both.astype(np.uint32) if len(first) <= 1 << (32 - BITS) else both)  # short keys sort fast
+                both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+                df += np.bincount(both & (FEATURES - 1), minlength=FEATURES)
+                texts, words = texts + len(first) - 1, words + len(f)
+        yield pa.table([pa.array(range(SLICES), pa.int32()), [x.tobytes() for x in df.reshape(SLICES, -1)], [texts] * SLICES, [words] * SLICES], names=["slice", "x", "texts", "words"]).to_batches()[0]
 
     def total(key, table):
         import pyarrow as pa
 
         x = sum(np.frombuffer(b, np.int64) for b in table.column("x").to_pylist())
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), [x.tobytes()], [sum(table.column("rows").to_pylist())]], names=["slice", "x", "rows"])
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), [x.tobytes()], [sum(table.column("texts").to_pylist())], [sum(table.column("words").to_pylist())]], names=["slice", "x", "texts", "words"])
 
-    kind = "slice int, x binary, rows long"
-    got = docs.select("text").mapInArrow(work, kind).groupBy("slice").applyInArrow(total, kind).orderBy("slice").collect()
-    return (np.concatenate([np.frombuffer(r["x"], np.int64) for r in got]), got[0]["rows"]) if got else (np.zeros(FEATURES, np.int64), 0)
+    kind = "slice int, x binary, texts long, words long"
+    got = rows.mapInArrow(work, kind).groupBy("slice").applyInArrow(total, kind).orderBy("slice").collect()
+    return (np.concatenate([np.frombuffer(r["x"], np.int64) for r in got]), got[0]["texts"], got[0]["words"]) if got else (np.zeros(FEATURES, np.int64), 0, 0)
 
 
 def passages(texts, width: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word fingerprints, text offsets in them, and (first word, text) of the steps that texts are cut into."""
     hashes, _, first = word_hashes(*joined_bytes(texts))
+    return hashes, first, *_steps(first, step)
+
+
+def _steps(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(first)
     steps = -(-n // step)
     owner = np.repeat(np.arange(len(n)), steps)
     place = first[:-1][owner] + (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)) * step
-    return hashes, first, place, owner
-
-
-def _passage_rows(docs: DataFrame) -> DataFrame:
-    """(features) int arrays of the passages of texts, for the fit."""
+    return place, owner
+
+
+def _add_rows(out: np.ndarray, f: np.ndarray, rows: np.ndarray, y: np.ndarray, group: int = 8, part: int = 64) -> None:
+    """Adds y[rows] to out[f], f ascending: sums of groups of rows of one feature, then of groups of these."""
+    ones = np.ones((1, group), np.float32)
+    while len(f):
+        new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+        count = np.diff(np.append(new, len(f)))
+        single = new[count == 1]
+        out[f[single]] += y[rows[single]]
+        new, count = new[count > 1], count[count > 1]
+        n = -(-count // group)
+        start = np.repeat(new, n) + group * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        end = np.repeat(new + count, n)
+        y = np.concatenate((y, np.zeros((1, y.shape[1]), np.float32)))  # for places that hold no row
+        sums = np.empty((len(start), y.shape[1]), np.float32)
+        for a in range(0, len(start), part):  # few enough for the cache
+            at = start[a : a + part, None] + np.arange(group)
+            some = np.where(at < end[a : a + part, None], rows.take(at, mode="clip"), len(y) - 1)
+            sums[a : a + part] = np.matmul(ones, y.take(some.reshape(-1), axis=0).reshape(-1, group, y.shape[1]))[:, 0]
+        f, rows, y = f[start], np.arange(len(start)), sums
+
+
+def _product(out: np.ndarray, f: np.ndarray, first: np.ndarray, idf: np.ndarray, scaled: np.ndarray) -> None:
+    """Adds to out, but for its idf, A'(A Q) of the passages of texts; scaled: rows of Q times idf, and one of zeros."""
+    place, owner = _steps(first, WIDTH)
+    if not len(place):
+        return
+    ends = np.minimum(place + WIDTH, first[owner + 1])
+    of = np.repeat(np.arange(len(place)), ends - place)
+    key = (of << BITS) | f
+    key = np.sort(key.astype(np.uint32) if len(place) <= 1 << (32 - BITS) else key)
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    tf, key = np.diff(np.append(new, len(key))), key[new]
+    norm2 = np.bincount(key >> BITS, weights=(tf * idf[key & (FEATURES - 1)]) ** 2, minlength=len(place))
+    y = _projected(f, place, ends, scaled, WIDTH)
+    y *= np.divide(1, norm2, out=np.zeros(len(place)), where=norm2 > 0)[:, None].astype(np.float32)
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    order = order[idf[f[order]] > 0]
+    _add_rows(out, f[order], of[order], y)
+
+
+def _multiplied(rows: DataFrame, weights, q: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """A'(A Q) over the passages of feature_rows: slices in half precision, each with the number it is to be multiplied by."""
+    size = q[0].shape[1]
+    basis = rows.sparkSession.sparkContext.broadcast(q)
+
+    def halved(x):
+        most = float(np.abs(x).max()) / 1024 or 1.0
+        return (x / np.float32(most)).astype(np.float16).tobytes(), most
 
     def work(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        out, idf = np.zeros((FEATURES, size), np.float32), weights.value
+        scaled = np.concatenate([*basis.value, np.zeros((1, size), np.float16)]).astype(np.float32)
+        scaled[:FEATURES] *= idf[:, None]
+        for batch in batches:
+            for f, first in _read(batch):
+                _product(out, f, first, idf, scaled)
+        out *= idf[:, None]
+        done = [halved(x) for x in out.reshape(SLICES, -1)]
+        del out, scaled
+        task = TaskContext.get().partitionId()
+        yield pa.table([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), [x for x, _ in done], [m for _, m in done]], names=["slice", "task", "x", "most"]).to_batches()[0]
+        del done
+        trim_worker()
 
-        for table in text_batches(batches, 1_000_000):
-            hashes, first, place, owner = passages(table.column("text"), WIDTH, WIDTH)
-            f = _feature(hashes).astype(np.int32)
-            yield pa.record_batch([pa.array([f[a : min(a + WIDTH, first[o + 1])].tobytes() for a, o in zip(place.tolist(), owner.tolist(), strict=True)], pa.binary())], names=["features"])
+    def total(key, table):
+        import pyarrow as pa
+
+        table = table.sort_by("task")  # so that reruns agree
+        x, most = halved(sum(np.frombuffer(b.as_buffer(), np.float16).astype(np.float32) * np.float32(m) for b, m in zip(table.column("x"), table.column("most").to_pylist(), strict=True)))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py() if len(key) > 1 else 0], pa.int32()), [x], [most]], names=["slice", "task", "x", "most"])
 
-    return docs.select("text").mapInArrow(work, "features binary")
+    kind = "slice int, task int, x binary, most double"
+    some = rows.mapInArrow(work, kind).groupBy("slice", F.expr("task div 32").alias("part")).applyInArrow(total, kind)  # 32 tasks at a time
+    got = some.groupBy("slice").applyInArrow(total, kind).orderBy("slice").collect()  # of fixed size
+    z = [(np.frombuffer(r["x"], np.float16).reshape(-1, size), r["most"]) for r in got]
+    basis.destroy()
+    del got, some
+    free_shuffles(rows.sparkSession)
+    return z
 
 
-def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = 128, extra: int = 8, common: int = 6, rounds: int = 2, seed: int = 7) -> np.ndarray:
-    """Right singular vectors of the TF-IDF rows (features binary), by randomised subspace iteration: a column each (float16).
+def latent_space(rows: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = 128, extra: int = 8, common: int = 6, rounds: int = 2, seed: int = 7) -> np.ndarray:
+    """Right singular vectors of the TF-IDF passages of rows and items (feature_rows): a column each (float16).
 
+    Subspace iteration over the items, with a little of the random start kept for directions that they lack, then once
+    over all passages of both, gives the subspace Q; a second product Z = A'AQ with all passages gives A'A as
+    Z (Q'Z)^-1 Z', whose vectors these are.
     The first `common` ones are left out: they hold languages and frequent words and make all passages alike. The driver
-    holds the basis once, in slices of half precision; it is made orthonormal slice by slice from its small Gram matrix.
+    holds bases in slices of half precision; small Gram matrices make them orthonormal.
     """
-    context = rows.sparkSession.sparkContext
-    size, part = rank + extra, FEATURES // SLICES
+    size, height = rank + extra, FEATURES // SLICES
     rng = np.random.default_rng(seed)
-    q = [rng.standard_normal((part, size), np.float32).astype(np.float16) for _ in range(SLICES)]  # a subspace needs no more
-    weights = context.broadcast(idf)
-    for turn in range(rounds + 1):
-        basis = context.broadcast(q)
-
-        def product(batches, basis=basis):
-            import pyarrow as pa
-
-            out, w, b = np.zeros((FEATURES, size), np.float32), weights.value, np.concatenate(basis.value).astype(np.float32)
-            for batch in batches:
-                for x in batch.column("features").to_pylist():
-                    f, tf = np.unique(np.frombuffer(x, np.int32), return_counts=True)
-                    a = tf * w[f]
-                    norm = np.sqrt(a @ a)
-                    if norm > 0:
-                        a = (a / norm).astype(np.float32)
-                        out[f] += a[:, None] * (a @ b[f])
-            yield pa.table([pa.array(range(SLICES), pa.int32()), [x.astype(np.float16).tobytes() for x in out.reshape(SLICES, -1)]], names=["slice", "x"]).to_batches()[0]
-
-        def total(key, table):
-            import pyarrow as pa
-
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), [sum(np.frombuffer(b, np.float16).astype(np.float32) for b in table.column("x").to_pylist()).astype(np.float16).tobytes()]], names=["slice", "x"])
-
-        kind = "slice int, x binary"
-        got = rows.mapInArrow(product, kind).groupBy("slice").applyInArrow(total, kind).orderBy("slice").collect()  # of fixed size
-        if not got:  # no passages at all
-            return np.zeros((FEATURES, 1), np.float16)
-        z = [np.frombuffer(r["x"], np.float16).reshape(part, size) for r in got]
-        del got
-        basis.destroy()
-        free_shuffles(rows.sparkSession)
-        if turn < rounds:
-            change = _orthogonal(sum(x.T @ x for x in map(_wide, z)))
-            q = z
-        else:  # Q'A'AQ gives the singular vectors within the subspace
-            values, vectors = np.linalg.eigh(sum(_wide(x).T @ _wide(y) for x, y in zip(q, z, strict=True)))
-            change = vectors[:, np.argsort(-values)[common:rank]]
-            del z
-        for i, x in enumerate(q):
-            q[i] = (_wide(x) @ change.astype(np.float32)).astype(np.float16)
-    return np.concatenate(q)
+    q = [rng.standard_normal((height, size), np.float32).astype(np.float16) for _ in range(SLICES)]
+    weights = rows.sparkSession.sparkContext.broadcast(idf)
+    every = rows.unionByName(items)
+    for part in [items] * rounds + [every]:
+        z = _multiplied(part, weights, q)
+        if z:
+            lengths = [np.sqrt(sum((x * x).sum(0, dtype=np.float64) for x in slices)) for slices in ((_wide(x) * np.float32(m) for x, m in z), map(_wide, q))]
+            by_z, by_q = (np.divide(1, x, out=np.zeros(size), where=x > 0).astype(np.float32) for x in lengths)
+            mixed = [_wide(x) * np.float32(m) * by_z + _wide(y) * (by_q * np.float32(1e-3)) for (x, m), y in zip(z, q, strict=True)]
+            change = _orthogonal(sum(x.T @ x for x in mixed)).astype(np.float32)
+            q = [(x @ change).astype(np.float16) for x in mixed]
+            del z, mixed
+    z = _multiplied(every, weights, q)
+    weights.destroy()
+    if not any(x.any() for x, _ in z):  # no passages at all
+        return np.zeros((FEATURES, 1), np.float16)
+    both, gram = np.zeros((size, size)), np.zeros((size, size))
+    for (x, m), y in zip(z, q, strict=True):
+        x = _wide(x) * np.float32(m)
+        both += _wide(y).T @ x
+        gram += x.T @ x
+    del q
+    values, vectors = np.linalg.eigh((both + both.T) / 2)
+    change = vectors[:, values > values[-1] * 1e-5] / np.sqrt(values[values > values[-1] * 1e-5])
+    values, vectors = np.linalg.eigh(change.T @ gram @ change)
+    order = np.argsort(-values)[values[::-1] > values[-1] * 1e-6]
+    order = order[min(common, len(order) // 8) : rank]  # few directions are all kept
+    change = (change @ vectors[:, order] / np.sqrt(values[order])).astype(np.float32)
+    return np.concatenate([(_wide(x) * np.float32(m) @ change).astype(np.float16) for x, m in z])
 
 
 def _wide(x: np.ndarray) -> np.ndarray:
@@ -210,21 +293,19 @@ def least_cosine(size: int, part: float) -> float:
     return part * covered / float(np.sqrt(size * WIDTH))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, share: float = 0.6, paraphrase: float = 0.5, fit_documents: int = 512, fit_items: int = 4096, block: int = 4096) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, share: float = 0.6, paraphrase: float = 0.5, fit_words: int = 8_000_000, block: int = 4096) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, cosine, lcs_words, item_words, answer_found, first_word, last_word, kind.
 
     A given cosine holds for all segments instead of their own least_cosine.
     """
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    df, rows = document_frequencies(docs)
+    items = benchmark.select("item_id", "text").filter("text is not null")
+    listed_words = materialize(feature_rows(docs), "lsa-documents")
+    df, rows, n_words = document_frequencies(listed_words)
     idf = np.log((1 + rows) / (1 + df)).astype(np.float32)
     idf[idf < 0.7] = 0  # words of half of all documents say nothing
-    sample = docs.select("doc_id", F.xxhash64("doc_id", F.lit("lsa")).alias("_o")).orderBy("_o", "doc_id").limit(fit_documents)
-    some = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").select("text")
-    items = benchmark.select("item_id", "text").filter("text is not null")
-    tasks = max(3, -(-items.count() // fit_items))
-    space = latent_space(materialize(_passage_rows(items.select("text").union(some)).repartition(tasks), "lsa-passages"), idf)
+    space = latent_space(listed_words.coalesce(max(3, -(-n_words // fit_words))), materialize(feature_rows(items), "lsa-items"), idf)
     shared, directions = spark.sparkContext.broadcast((space, idf)), space.shape[1]
     del space
 
@@ -320,6 +401,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, sh
             types = [table.schema.field("doc_id").type, None, pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
             types[1] = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)], names=names)
+        del scaled
+        places.clear()
+        marks.clear()
+        trim_worker()
 
     return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, cosine double, lcs_words long, item_words long, answer_found boolean, first_word long, last_word long, kind string")
 
