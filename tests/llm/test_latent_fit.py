@@ -41,3 +41,18 @@ def test_space_holds_all_documents(spark):
     assert held > 0.93 * best and held > 1.02 * ((a @ sampled.T) ** 2).sum()  # exact, but of the sample that was fitted on before
     again = d.latent_space(docs, table(items), idf, rank=50, extra=30, common=0)
     assert (again[used] == space).all()
+
+
+def test_stage_fits_on_every_document(spark, tmp_path, monkeypatch):
+    """The pipeline's stage: 700 documents, more than the 512 that were fitted on before."""
+    seen = []
+
+    def spy(rows, items, idf):
+        seen.append(d.document_frequencies(rows)[1])
+        return np.eye(d.FEATURES, 1, dtype=np.float16)
+
+    monkeypatch.setattr(d, "latent_space", spy)
+    docs = spark.createDataFrame([(i, f"a{i} b{i % 7} c") for i in range(700)], "doc_id long, text string")
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert d.stage_decontaminate(spark, docs, str(tmp_path)).count() == 700
+    assert seen == [700]
