@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to features; idf comes from all documents. A randomised SVD of TF-IDF passages - those of every
-benchmark item and of every document - is computed by distributed products with the passage table: subspace iteration
-over the items gives the subspace to begin with, two products A'(AQ) with all passages give the space (Nystroem's
-approximation of A'A from the second). Every document is cut into overlapping passages of 32 words, each projected
+benchmark item and of every document - is computed by distributed products with the passage table: from a random start,
+subspace iteration by A'(AQ) over all passages, the last product giving the space (Nystroem's approximation of A'A). Every
+document is cut into overlapping passages of 32 words, each projected
 into the latent space and compared by cosine with all benchmark segments. Passages above a segment's threshold are
 candidates: the cosine that the least common subsequence still accepted gives in the worst position (least_cosine), so
 the search is as wide as the check behind it, less one deviation of random cosines in the latent space. Runs of candidates are checked by the longest common subsequence with the whole item, and paraphrases (shorter common
@@ -98,25 +98,29 @@ def _steps(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return place, owner
 
 
-def _add_rows(out: np.ndarray, f: np.ndarray, rows: np.ndarray, y: np.ndarray, group: int = 8, part: int = 64) -> None:
-    """Adds y[rows] to out[f], f ascending: sums of groups of rows of one feature, then of groups of these."""
-    ones = np.ones((1, group), np.float32)
+def _add_rows(out: np.ndarray, f: np.ndarray, rows: np.ndarray, y: np.ndarray, group: int = 8, part: int = 256) -> None:
+    """Adds y[rows] to out[f], f ascending: sums of groups of rows of one feature, groups of one size together, then of these sums."""
     while len(f):
         new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         count = np.diff(np.append(new, len(f)))
-        single = new[count == 1]
-        out[f[single]] += y[rows[single]]
-        new, count = new[count > 1], count[count > 1]
         n = -(-count // group)
         start = np.repeat(new, n) + group * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        end = np.repeat(new + count, n)
-        y = np.concatenate((y, np.zeros((1, y.shape[1]), np.float32)))  # for places that hold no row
-        sums = np.empty((len(start), y.shape[1]), np.float32)
-        for a in range(0, len(start), part):  # few enough for the cache
-            at = start[a : a + part, None] + np.arange(group)
-            some = np.where(at < end[a : a + part, None], rows.take(at, mode="clip"), len(y) - 1)
-            sums[a : a + part] = np.matmul(ones, y.take(some.reshape(-1), axis=0).reshape(-1, group, y.shape[1]))[:, 0]
-        f, rows, y = f[start], np.arange(len(start)), sums
+        size = np.minimum(group, np.repeat(new + count, n) - start)
+        whole = np.repeat(n == 1, n)  # groups that hold all rows of a feature
+        left = np.cumsum(~whole) - 1
+        sums = np.empty((int((~whole).sum()), y.shape[1]), np.float32)
+        for k in range(1, group + 1):
+            ones = np.ones((1, k), np.float32)
+            for last in (True, False):
+                groups = np.flatnonzero((size == k) & (whole == last))
+                for a in range(0, len(groups), part // k):  # few enough for the cache
+                    some = groups[a : a + part // k]
+                    x = np.matmul(ones, y.take(rows[start[some, None] + np.arange(k)].reshape(-1), axis=0).reshape(len(some), k, -1))[:, 0]
+                    if last:
+                        out[f[start[some]]] += x
+                    else:
+                        sums[left[some]] = x
+        f, rows, y = f[start[~whole]], np.arange(len(sums)), sums
 
 
 def _product(out: np.ndarray, f: np.ndarray, first: np.ndarray, idf: np.ndarray, scaled: np.ndarray) -> None:
@@ -185,9 +189,8 @@ def _multiplied(rows: DataFrame, weights, q: list[np.ndarray]) -> list[tuple[np.
 def latent_space(rows: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = 128, extra: int = 8, common: int = 6, rounds: int = 2, seed: int = 7) -> np.ndarray:
     """Right singular vectors of the TF-IDF passages of rows and items (feature_rows): a column each (float16).
 
-    Subspace iteration over the items, with a little of the random start kept for directions that they lack, then once
-    over all passages of both, gives the subspace Q; a second product Z = A'AQ with all passages gives A'A as
-    Z (Q'Z)^-1 Z', whose vectors these are.
+    Subspace iteration from a random start, each round over all passages of both, gives the subspace Q; one more product
+    Z = A'AQ gives A'A as Z (Q'Z)^-1 Z', whose vectors these are.
     The first `common` ones are left out: they hold languages and frequent words and make all passages alike. The driver
     holds bases in slices of half precision; small Gram matrices make them orthonormal.
     """
@@ -196,19 +199,16 @@ def latent_space(rows: DataFrame, items: DataFrame, idf: np.ndarray, rank: int =
     q = [rng.standard_normal((height, size), np.float32).astype(np.float16) for _ in range(SLICES)]
     weights = rows.sparkSession.sparkContext.broadcast(idf)
     every = rows.unionByName(items)
-    for part in [items] * rounds + [every]:
-        z = _multiplied(part, weights, q)
-        if z:
-            lengths = [np.sqrt(sum((x * x).sum(0, dtype=np.float64) for x in slices)) for slices in ((_wide(x) * np.float32(m) for x, m in z), map(_wide, q))]
-            by_z, by_q = (np.divide(1, x, out=np.zeros(size), where=x > 0).astype(np.float32) for x in lengths)
-            mixed = [_wide(x) * np.float32(m) * by_z + _wide(y) * (by_q * np.float32(1e-3)) for (x, m), y in zip(z, q, strict=True)]
-            change = _orthogonal(sum(x.T @ x for x in mixed)).astype(np.float32)
-            q = [(x @ change).astype(np.float16) for x in mixed]
-            del z, mixed
+    for _ in range(rounds):
+        z = _multiplied(every, weights, q)
+        if not any(x.any() for x, _ in z):  # no passages at all
+            weights.destroy()
+            return np.zeros((FEATURES, 1), np.float16)
+        change = _orthogonal(sum((_wide(x) * np.float32(m)).T @ (_wide(x) * np.float32(m)) for x, m in z)).astype(np.float32)
+        q = [(_wide(x) * np.float32(m) @ change).astype(np.float16) for x, m in z]
+        del z
     z = _multiplied(every, weights, q)
     weights.destroy()
-    if not any(x.any() for x, _ in z):  # no passages at all
-        return np.zeros((FEATURES, 1), np.float16)
     both, gram = np.zeros((size, size)), np.zeros((size, size))
     for (x, m), y in zip(z, q, strict=True):
         x = _wide(x) * np.float32(m)

@@ -56,3 +56,36 @@ def test_stage_fits_on_every_document(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert d.stage_decontaminate(spark, docs, str(tmp_path)).count() == 700
     assert seen == [700]
+
+
+def test_space_holds_documents_whose_words_no_item_has(spark):
+    """Three quarters of the documents share no word with any item; an exact SVD of all passages is what the space must come near."""
+    r = random.Random(5)
+    topic = lambda kind, k: " ".join(f"{kind}{k}x{int(30 * r.random() ** 2)}" for _ in range(64))
+    texts = [topic("a", i % 40) for i in range(400)] + [topic("b", i % 40) for i in range(1200)]
+    items = [topic("a", r.randrange(40)) for _ in range(120)]
+    table = lambda x: d.feature_rows(spark.createDataFrame([(t,) for t in x], "text string").repartition(5))
+    docs = table(texts)
+    df, n, _ = d.document_frequencies(docs)
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32)
+    a = []
+    for t in [*texts, *items]:
+        f = d._feature(d.word_hashes(*d.joined_bytes([t]))[0])
+        a += [np.bincount(f[i : i + d.WIDTH], minlength=d.FEATURES) for i in range(0, len(f), d.WIDTH)]
+    used = np.flatnonzero(np.any(a, axis=0))
+    a = np.array([x[used] for x in a]) * idf[used].astype(np.float64)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    best = (np.linalg.svd(a, compute_uv=False)[:40] ** 2).sum()
+    space = d.latent_space(docs, table(items), idf, rank=40, common=0).astype(np.float64)[used]
+    assert ((a @ space) ** 2).sum() > 0.95 * best  # 0.53 where the subspace came from the items
+
+
+def test_sums_of_rows():
+    r = np.random.default_rng(2)
+    f = np.sort(np.concatenate((np.repeat(3, 700), r.integers(0, 90, 400), np.arange(100, 140))))
+    rows, y = r.integers(0, 50, len(f)), r.standard_normal((50, 5)).astype(np.float32)
+    out, want = np.ones((150, 5), np.float32), np.ones((150, 5))
+    d._add_rows(out, f, rows, y)
+    np.add.at(want, f, y[rows])
+    assert np.abs(out - want).max() < 1e-3
+    d._add_rows(out, f[:0], rows[:0], y)
