@@ -167,16 +167,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tup
     if not len(first):
         return np.zeros(0, np.uint64), first, np.zeros(len(starts), np.int64)
     length = end - first
-    # word value: sum of byte value times a power of the base for its place in the word
+    # word value: sum of byte value times a power of the base for its place in the word; spaces after it have the value 0
+    of = np.where(_SPACE, np.uint64(0), BYTE64[_LOWER] if lower else BYTE64)
     longest = int(length.max())
     powers = np.cumprod(np.full(longest, _BASE, np.uint64))
-    inside = ~space
-    index = np.flatnonzero(inside)
-    place = index - np.repeat(first, length)
-    value = (BYTE64[_LOWER[data[index]]] if lower else BYTE64[data[index]]) * powers[place]
-    at = np.zeros(len(first), np.int64)
-    np.cumsum(length[:-1], out=at[1:])
-    hashes = mix64(np.add.reduceat(value, at) + length.astype(np.uint64))
+    hashes = np.empty(len(first), np.uint64)
+    i = 0
+    while i < len(first):  # so many bytes at a time that they stay in the cache
+        j = max(i + 1, int(np.searchsorted(first, first[i] + 32_768)))
+        at = first[i:j] - first[i]
+        place = np.arange(int(end[j - 1] - first[i])) - np.repeat(at, np.diff(np.append(at, end[j - 1] - first[i])))
+        value = of[data[first[i] : end[j - 1]]] * powers.take(place, mode="clip")
+        hashes[i:j] = np.add.reduceat(value, at)
+        i = j
+    hashes = mix64(hashes + length.astype(np.uint64))
     return hashes, first, np.searchsorted(first, starts)
 
 

@@ -11,10 +11,11 @@ Texts are lower-cased (A-Z) and end with byte 0xFF, which UTF-8 doesn't use and
 first byte. Training counts (context, next byte) over all training texts: packed counts per task and bucket of contexts
 that agree in the last two bytes, summed per bucket, so each subtree from depth two down is worked out in one task; the
 levels above are bounded arrays. For scoring, each context becomes a row of log10 P(byte | context). Rows are held in
-blocks of at most block_contexts, each a broadcast of its own that a task loads in turn.
+blocks of at most block_contexts, each a broadcast of its own that a task loads in turn; names of contexts are at hand.
 
 Word counts for the base score are packed per task and bucket of 64-bit word fingerprints, summed per bucket, and kept
-in blocks of at most block_words words that scoring loads in turn like the tree's. Texts are never shuffled.
+in blocks of ascending ranges of at most about block_words words that scoring loads in turn like the tree's; no more than one
+block is in a worker's memory. Texts are never shuffled.
 
 Nulls and empty texts: one end token and one end byte. Repeated rows are scored each. With no training text every
 estimate is one half and the base score 0 known words. Empty tables give empty results.
@@ -26,16 +27,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, free_shuffles, joined_bytes, materialize, text_batches, word_hashes
+from .common import _LOWER, free_shuffles, joined_bytes, materialize, text_batches, trim_worker, word_hashes
 
 END = 255
 DEPTH = 5
 MIN_COUNT = 2
 CONTEXT_BUCKETS = 64
 BLOCK_CONTEXTS = 32_768
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 #: Training bytes a bucket of word counts is made for.
 BUCKET_BYTES = 64_000_000
+#: Bytes of text scored with one pass over the blocks, and positions worked on at a time.
+SCORED_BYTES, PART = 4_000_000, 1 << 16
 
 
 def _stream(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +101,8 @@ def _counted(train: DataFrame, keys_of, bucket_of, buckets: int) -> DataFrame:
                     held, counts = [w[:0]], [n[:0]]
         w, n = _summed(held, counts)
         yield from _packed(w, n, bucket_of(w, buckets), buckets)
+        del held, counts, w, n
+        trim_worker()
 
     def total(key, table):
         import pyarrow as pa
@@ -368,24 +373,23 @@ class ContextTree:
 
 
 class _Finder:
-    """Place of the deepest context of each gram: an array for three bytes, an open hash table for the deeper ones."""
+    """Place of the deepest context of each gram: an array over symbols for three bytes, an open hash table for the deeper ones."""
 
-    def __init__(self, depths: np.ndarray, names: np.ndarray):
+    def __init__(self, depths: np.ndarray, names: np.ndarray, alphabet: Alphabet):
         place = np.arange(len(names), dtype=np.int32)
-        three = np.zeros((256, 256, 256), np.int32)  # latest byte first
+        # a context holds bytes seen in training only; all others share a symbol that is in no context
+        self.of, w = alphabet.of.astype(np.int32), alphabet.width
+        self.width = w
+        three = np.zeros((w, w, w), np.int32)  # latest byte first
         for k in (1, 2, 3):
             at = depths == k
             x = names[at].astype(np.int64)
-            if k == 1:
-                three[x] = place[at][:, None, None]
-            elif k == 2:
-                three[x >> 8, x & 255] = place[at][:, None]
-            else:
-                three.reshape(-1)[x] = place[at]
+            symbols = tuple(self.of[(x >> (8 * (k - 1 - i))) & 255] for i in range(k))
+            three[symbols] = place[at].reshape(-1, *[1] * (3 - k))
         self.three = three.reshape(-1)
         deep = depths > 3
         keys = (names[deep].astype(np.uint64) << np.uint64(3)) | depths[deep].astype(np.uint64)
-        self.bits = max(4, int(np.ceil(np.log2(len(keys) * 4 + 1))))
+        self.bits = max(4, int(np.ceil(np.log2(len(keys) * 2 + 1))))
         self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         at, value, slot = keys, place[deep], self._slot(keys)
         while len(at):  # all keys at once; those that lose their slot try the next
@@ -399,7 +403,8 @@ class _Finder:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        out = self.three[(grams >> np.uint64(40)).astype(np.int64)]
+        byte = lambda i: self.of[((grams >> np.uint64(56 - 8 * i)) & np.uint64(255)).astype(np.int64)]
+        out = self.three[(byte(0) * self.width + byte(1)) * self.width + byte(2)]
         live = None
         for k in range(4, DEPTH + 1):
             g = grams if live is None else grams[live]
@@ -418,6 +423,51 @@ class _Finder:
             out[live] = self.places[slot[hits]]
         return out
 
+    def of_bytes(self, data: np.ndarray) -> np.ndarray:
+        """The same for all positions of bytes from DEPTH on, some at a time."""
+        n = len(data) - DEPTH
+        out = np.empty(n, np.int32)
+        for a in range(0, n, PART):
+            out[a : a + PART] = self(_grams(data[a : a + PART + DEPTH]))
+        return out
+
+
+def _scores(at: np.ndarray, symbol: np.ndarray, firsts: list, blocks, width: int) -> np.ndarray:
+    """log10 P of the symbols after the contexts at these places (float32); blocks come one after another."""
+    out = np.empty(len(at), np.float32)
+    for first, stop in zip(firsts, firsts[1:], strict=False):
+        rows = None  # gone before the next is read
+        rows = next(blocks)
+        for a in range(0, len(at), PART):
+            x = at[a : a + PART]
+            here = np.flatnonzero((x >= first) & (x < stop))
+            out[a + here] = rows[(x[here].astype(np.int64) - first) * width + symbol[a + here]]
+    return out
+
+
+def _counts_of(words: np.ndarray, blocks) -> np.ndarray:
+    """Counts of ascending fingerprints; blocks (fingerprints, counts) come one after another, in ascending ranges."""
+    out, a = np.zeros(len(words)), 0
+    for keys, counts in blocks:
+        if len(keys):
+            b = int(np.searchsorted(words, keys[-1], side="right"))
+            place = np.searchsorted(keys, words[a:b])
+            hit = keys[place] == words[a:b]
+            out[a:b][hit] = counts[place[hit]]
+            a = b
+        keys = counts = None  # gone before the next is read
+    return out
+
+
+def _in_turn(shared: list):
+    """The values of broadcasts, one after another; none stays in memory, but one that is alone."""
+    for b in shared:
+        try:
+            yield b.value
+        finally:
+            if len(shared) > 1 and hasattr(b, "_value"):  # read again for the next batch
+                del b._value
+
 
 def word_counts(train: DataFrame, buckets: int) -> DataFrame:
     """Packed counts of the 64-bit fingerprints of all training words, by range of the fingerprint."""
@@ -438,7 +488,7 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
     context = docs.sparkSession.sparkContext
     depths, names, firsts, tree_blocks = [], [], [0], []
     tree = ContextTree(gram_counts(train))
-    symbols, wide = tree.alphabet.of, tree.alphabet.width
+    alphabet = tree.alphabet
     free_shuffles(docs.sparkSession)  # and broadcasts of earlier calls
     for d, x, rows in tree.blocks(block_contexts):
         depths.append(d)
@@ -456,7 +506,10 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
         if group and (r is None or held + r["v"] > block_words):
             rows = vocabulary.filter(F.col("bucket").isin(group)).select("bucket", "keys", "counts").toArrow().sort_by("bucket")
             join = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)  # noqa: E731, B023
-            word_blocks.append(context.broadcast((join("keys", np.uint64), join("counts", np.int64).astype(np.float64))))
+            keys, counts = join("keys", np.uint64), join("counts", np.int64)
+            for a in range(0, len(keys), block_words):  # a bucket may be larger
+                word_blocks.append(context.broadcast((keys[a : a + block_words], counts[a : a + block_words])))
+            del rows, keys, counts
             group, held = [], 0
         if r is not None:
             group.append(r["bucket"])
@@ -466,40 +519,30 @@ def score_texts(docs: DataFrame, train: DataFrame, block_contexts: int = BLOCK_C
     def work(batches):
         import pyarrow as pa
 
-        finder = _Finder(*listed.value)
-
-        def loaded(b):
-            rows = b.value
-            if len(tree_blocks) > 4 and hasattr(b, "_value"):
-                del b._value  # few blocks stay in memory, more are read again for each batch
-            return rows
-
-        for table in text_batches(batches, 1_500_000):
+        trim_worker()  # what earlier tasks left
+        finder = _Finder(*listed.value, alphabet)
+        if hasattr(listed, "_value"):  # the finder has what it needs of it
+            del listed._value
+        symbols = alphabet.of.astype(np.uint8)
+        for table in text_batches(batches, SCORED_BYTES):
             texts = table.column("text")
             data, starts = _stream(texts)
-            grams = _grams(data)
-            at, byte = finder(grams), symbols[(grams & np.uint64(255)).astype(np.int64)]
-            score = np.zeros(len(grams))
-            for first, stop, b in zip(firsts, firsts[1:], tree_blocks, strict=False):
-                here = np.flatnonzero((at >= first) & (at < stop))
-                score[here] = loaded(b)[(at[here].astype(np.int64) - first) * wide + byte[here]]
+            score = _scores(finder.of_bytes(data), symbols[data[DEPTH:]], firsts, _in_turn(tree_blocks), alphabet.width)
             score[~_positions(starts)] = 0
-            by_text = np.add.reduceat(score, starts[:-1])
+            by_text, sizes = np.add.reduceat(score, starts[:-1], dtype=np.float64), np.diff(starts) - DEPTH
+            del data, score
             hashes, _, first = word_hashes(*joined_bytes(texts))
             names, inverse = np.unique(hashes, return_inverse=True)
-            count = np.zeros(len(names))
-            for b in word_blocks:
-                words, counts = b.value
-                place = np.minimum(np.searchsorted(words, names), max(0, len(words) - 1))
-                hit = words[place] == names if len(words) else np.zeros(len(names), bool)
-                count[hit] = counts[place[hit]]
+            count = _counts_of(names, _in_turn(word_blocks))
             each = np.append(np.log10(count + 0.1)[inverse], 0.0)
             known = np.append((count > 0)[inverse].astype(np.int64), 0)
             n = np.diff(first)
             add = lambda x: np.where(n > 0, np.add.reduceat(x, np.minimum(first[:-1], len(x) - 1)), 0)  # noqa: E731, B023
             base = add(each) + np.log10(ends + 0.1) - bottom * (n + 1)
-            cols = [table.column("doc_id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(n + 1), pa.array(add(known) + (ends > 0)), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(by_text), pa.array(np.diff(starts) - DEPTH)]
+            cols = [table.column("doc_id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(n + 1), pa.array(add(known) + (ends > 0)), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(by_text), pa.array(sizes)]
             yield from pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_predicted"]).to_batches()
+            del hashes, names, inverse, count, each, known, base, by_text, cols
+            trim_worker()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "held_out", "text").mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_predicted long")
