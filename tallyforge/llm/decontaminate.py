@@ -52,8 +52,10 @@ def feature_rows(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(work, "features binary, first binary")
 
 
-def _read(table) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(f, np.uint16).astype(np.int64), np.frombuffer(x, np.int64)) for f, x in zip(table.column("features").to_pylist(), table.column("first").to_pylist(), strict=True)]
+def _read(table):
+    """Features and first words of each row of feature_rows, one after another."""
+    for f, x in zip(table.column("features"), table.column("first"), strict=True):
+        yield np.frombuffer(f.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(x.as_buffer(), np.int64)
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -98,29 +100,33 @@ def _steps(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return place, owner
 
 
-def _add_rows(out: np.ndarray, f: np.ndarray, rows: np.ndarray, y: np.ndarray, group: int = 8, part: int = 256) -> None:
-    """Adds y[rows] to out[f], f ascending: sums of groups of rows of one feature, groups of one size together, then of these sums."""
+def _sums(y: np.ndarray, rows: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """Sums of y[rows] over the k places from each start on."""
+    x = y.take(rows[start[:, None] + np.arange(k)].reshape(-1), axis=0)
+    if k < 3:
+        return x if k == 1 else x[0::2] + x[1::2]
+    return np.matmul(np.ones((1, k), np.float32), x.reshape(len(start), k, -1))[:, 0]
+
+
+def _add_rows(out: np.ndarray, f: np.ndarray, rows: np.ndarray, y: np.ndarray, group: int = 32, part: int = 1024) -> None:
+    """Adds y[rows] to out[f], f ascending: sums of groups (a power of two) of rows of one feature, to which this is done again; what is left of a feature goes to out in halves of a group, quarters and so on."""
     while len(f):
         new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-        count = np.diff(np.append(new, len(f)))
-        n = -(-count // group)
-        start = np.repeat(new, n) + group * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        size = np.minimum(group, np.repeat(new + count, n) - start)
-        whole = np.repeat(n == 1, n)  # groups that hold all rows of a feature
-        left = np.cumsum(~whole) - 1
-        sums = np.empty((int((~whole).sum()), y.shape[1]), np.float32)
-        for k in range(1, group + 1):
-            ones = np.ones((1, k), np.float32)
-            for last in (True, False):
-                groups = np.flatnonzero((size == k) & (whole == last))
-                for a in range(0, len(groups), part // k):  # few enough for the cache
-                    some = groups[a : a + part // k]
-                    x = np.matmul(ones, y.take(rows[start[some, None] + np.arange(k)].reshape(-1), axis=0).reshape(len(some), k, -1))[:, 0]
-                    if last:
-                        out[f[start[some]]] += x
-                    else:
-                        sums[left[some]] = x
-        f, rows, y = f[start[~whole]], np.arange(len(sums)), sums
+        feature, count = f[new], np.diff(np.append(new, len(f)))
+        full = count // group
+        at, k = new + group * full, group // 2
+        while k:
+            some = np.flatnonzero(count & k)
+            for a in range(0, len(some), part // k):  # few enough for the cache
+                i = some[a : a + part // k]
+                out[feature[i]] += _sums(y, rows, at[i], k)
+            at[some] += k
+            k //= 2
+        start = np.repeat(new, full) + group * (np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full))
+        sums = np.empty((len(start), y.shape[1]), np.float32)
+        for a in range(0, len(start), part // group):
+            sums[a : a + part // group] = _sums(y, rows, start[a : a + part // group], group)
+        f, rows, y = np.repeat(feature, full), np.arange(len(start)), sums
 
 
 def _product(out: np.ndarray, f: np.ndarray, first: np.ndarray, idf: np.ndarray, scaled: np.ndarray) -> None:
@@ -245,15 +251,22 @@ def _projected(features: np.ndarray, place: np.ndarray, ends: np.ndarray, scaled
     """Sums of the scaled rows of the words from each place on, `width` of them or as far as its end."""
     out = np.empty((len(place), scaled.shape[1]), np.float32)
     ones = np.ones((1, width), np.float32)
-    for a in range(0, len(place), 64):  # few enough for the cache
-        at = place[a : a + 64, None] + np.arange(width)
-        rows = np.where(at < ends[a : a + 64, None], features.take(at, mode="clip"), FEATURES)
-        out[a : a + 64] = np.matmul(ones, scaled.take(rows.reshape(-1), axis=0).reshape(-1, width, scaled.shape[1]))[:, 0]
+    part = max(1, 2048 // width)
+    for a in range(0, len(place), part):  # few enough for the cache
+        at = place[a : a + part, None] + np.arange(width)
+        rows = np.where(at < ends[a : a + part, None], features.take(at, mode="clip"), FEATURES)
+        out[a : a + part] = np.matmul(ones, scaled.take(rows.reshape(-1), axis=0).reshape(-1, width, scaled.shape[1]))[:, 0]
     return out
 
 
+def _near(vectors: np.ndarray, matrix: np.ndarray, limits: np.ndarray, part: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of vectors and of matrix whose product reaches the limit of the latter's row."""
+    hits = [np.flatnonzero(vectors[a : a + part] @ matrix.T >= limits) + a * len(matrix) for a in range(0, len(vectors), part)]  # few enough for the cache
+    return np.divmod(np.concatenate(hits), max(1, len(matrix)))
+
+
 def _unit_rows(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
 
 
 def common_subsequence(item: dict, size: int, words: list) -> int:
@@ -365,9 +378,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, sh
                 vectors = _unit_rows(sums)
                 for number, b in enumerate(blocks):
                     ids, matrix, words, answers, limits, needed, mark = loaded(number, b)
-                    hits = [np.nonzero(vectors[a : a + 8192] @ matrix.T >= limits) for a in range(0, len(vectors), 8192)]
-                    p = np.concatenate([x[0] + 8192 * i for i, x in enumerate(hits)])
-                    s = np.concatenate([x[1] for x in hits])
+                    p, s = _near(vectors, matrix, limits)
                     order = np.lexsort((p, s, owner[p]))
                     p, s = p[order], s[order]
                     # runs of near passages of one text and segment
