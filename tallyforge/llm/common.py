@@ -137,6 +137,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Longer words are fingerprinted byte by byte.
+_SHORT = 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -150,6 +152,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     """Texts (pyarrow string array or list; null: empty) as one uint8 array, each followed by a newline, and start offsets."""
+    if str(getattr(texts, "type", "")) == "string" and len(texts) and texts.nbytes < 1 << 30:  # bytes are joined where they lie
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.combine_chunks() if hasattr(texts, "combine_chunks") else texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        texts = pa.concat_arrays([texts, pa.array([""], texts.type)])  # so that a newline follows the last text too
+        data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_buffer()
+        return np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum(sizes)))
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in (texts.to_pylist() if hasattr(texts, "to_pylist") else texts)]
     sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
     starts = np.zeros(len(parts) + 1, np.int64)
@@ -159,27 +170,48 @@ def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit fingerprints of all words of a batch, the first byte of each, and for each text the index of its first word."""
-    space = _SPACE[data]
+    space = (data - np.uint8(9) < 5) | (data == 32)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(data) and not space[0]:
         edge = np.concatenate(([0], edge))
-    first, end = edge[0::2], edge[1::2]
+    first, end = edge[0::2].copy(), edge[1::2]
     if not len(first):
         return np.zeros(0, np.uint64), first, np.zeros(len(starts), np.int64)
     length = end - first
     # word value: sum of byte value times a power of the base for its place in the word; spaces after it have the value 0
     of = np.where(_SPACE, np.uint64(0), BYTE64[_LOWER] if lower else BYTE64)
-    longest = int(length.max())
-    powers = np.cumprod(np.full(longest, _BASE, np.uint64))
+    square = np.array([_BASE]) * _BASE
+    pairs = (of * _BASE + of[:, None] * square).reshape(-1)  # values of two bytes at once, the second one the higher
     hashes = np.empty(len(first), np.uint64)
-    i = 0
-    while i < len(first):  # so many bytes at a time that they stay in the cache
-        j = max(i + 1, int(np.searchsorted(first, first[i] + 32_768)))
-        at = first[i:j] - first[i]
-        place = np.arange(int(end[j - 1] - first[i])) - np.repeat(at, np.diff(np.append(at, end[j - 1] - first[i])))
-        value = of[data[first[i] : end[j - 1]]] * powers.take(place, mode="clip")
-        hashes[i:j] = np.add.reduceat(value, at)
-        i = j
+    for i in range(0, len(first), 65_536):  # so many words at a time that they stay in the cache
+        at, left = first[i : i + 65_536], length[i : i + 65_536]
+        two = data[at[0] + 1 : at[-1] + left[-1] + 1].astype(np.uint16)
+        two <<= 8
+        two |= data[at[0] : at[-1] + left[-1]]
+        at = at - at[0]
+        value = pairs.take(two.take(at))
+        of_word = np.flatnonzero((left > 2) & (left <= _SHORT))
+        at, left, power = at.take(of_word), left.take(of_word), square
+        while len(of_word):
+            at += 2
+            left -= 2
+            value[of_word] += pairs.take(two.take(at)) * power
+            power = power * square
+            more = np.flatnonzero(left > 2)
+            of_word, at, left = of_word.take(more), at.take(more), left.take(more)
+        hashes[i : i + 65_536] = value
+    many = np.flatnonzero(length > _SHORT)
+    if len(many):
+        at, n = first[many], length[many]
+        powers = np.cumprod(np.full(int(n.max()), _BASE, np.uint64))
+        long = np.cumsum(n)
+        i = 0
+        while i < len(many):  # so many bytes at a time that they stay in the cache
+            j = max(i + 1, int(np.searchsorted(long, (long[i - 1] if i else 0) + 32_768, "right")))
+            begin = np.cumsum(n[i:j]) - n[i:j]
+            place = np.arange(int(n[i:j].sum())) - np.repeat(begin, n[i:j])
+            hashes[many[i:j]] = np.add.reduceat(of[data[place + np.repeat(at[i:j], n[i:j])]] * powers[place], begin)
+            i = j
     hashes = mix64(hashes + length.astype(np.uint64))
     return hashes, first, np.searchsorted(first, starts)
 

@@ -100,32 +100,39 @@ def _steps(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return place, owner
 
 
-def _sums(y: np.ndarray, rows: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
-    """Sums of y[rows] over the k places from each start on."""
-    x = y.take(rows[start[:, None] + np.arange(k)].reshape(-1), axis=0)
-    if k < 3:
-        return x if k == 1 else x[0::2] + x[1::2]
-    return np.matmul(np.ones((1, k), np.float32), x.reshape(len(start), k, -1))[:, 0]
-
-
-def _add_rows(out: np.ndarray, f: np.ndarray, rows: np.ndarray, y: np.ndarray, group: int = 32, part: int = 1024) -> None:
-    """Adds y[rows] to out[f], f ascending: sums of groups (a power of two) of rows of one feature, to which this is done again; what is left of a feature goes to out in halves of a group, quarters and so on."""
+def _sums(y: np.ndarray, rows: np.ndarray, start: np.ndarray, k: int, held: np.ndarray) -> np.ndarray:
+    """Sums of y[rows] over the k places from each start on; held is room for the rows, used again and again."""
+    x = y.take(rows.take((start[:, None] + np.arange(k)).reshape(-1)), axis=0, out=held[: len(start) * k], mode="clip")
+    if k >= 8:
+        return np.matmul(np.ones((1, k), np.float32), x.reshape(len(start), k, -1))[:, 0]
+    for i in range(1, k):
+        x[0::k] += x[i::k]
+    return x[0::k]
+
+
+def _add_rows(out: np.ndarray, f: np.ndarray, rows: np.ndarray, y: np.ndarray, group: int = 32, part: int = 2048) -> None:
+    """Adds y[rows] to out[f], f ascending: sums of groups of rows of one feature, to which this is done again; what is left of a feature goes to out at once, features with as many rows left together."""
+    held, place = np.empty((2, max(part, group), y.shape[1]), np.float32)
     while len(f):
         new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         feature, count = f[new], np.diff(np.append(new, len(f)))
         full = count // group
-        at, k = new + group * full, group // 2
-        while k:
-            some = np.flatnonzero(count & k)
+        left = (count - full * group).astype(np.uint16)
+        order = np.argsort(left, kind="stable")
+        bounds = np.searchsorted(left[order], np.arange(group + 1))
+        at = new + group * full
+        for k in range(1, group):
+            some = order[bounds[k] : bounds[k + 1]]
             for a in range(0, len(some), part // k):  # few enough for the cache
                 i = some[a : a + part // k]
-                out[feature[i]] += _sums(y, rows, at[i], k)
-            at[some] += k
-            k //= 2
+                to = feature[i]
+                x = out.take(to, axis=0, out=place[: len(i)], mode="clip")
+                x += _sums(y, rows, at[i], k, held)
+                out[to] = x
         start = np.repeat(new, full) + group * (np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full))
         sums = np.empty((len(start), y.shape[1]), np.float32)
         for a in range(0, len(start), part // group):
-            sums[a : a + part // group] = _sums(y, rows, start[a : a + part // group], group)
+            sums[a : a + part // group] = _sums(y, rows, start[a : a + part // group], group, held)
         f, rows, y = np.repeat(feature, full), np.arange(len(start)), sums
 
 
@@ -135,17 +142,17 @@ def _product(out: np.ndarray, f: np.ndarray, first: np.ndarray, idf: np.ndarray,
     if not len(place):
         return
     ends = np.minimum(place + WIDTH, first[owner + 1])
-    of = np.repeat(np.arange(len(place)), ends - place)
-    key = (of << BITS) | f
-    key = np.sort(key.astype(np.uint32) if len(place) <= 1 << (32 - BITS) else key)
+    short = len(place) <= 1 << (32 - BITS)
+    of = np.repeat(np.arange(len(place), dtype=np.uint32 if short else np.int64), ends - place)
+    key = np.sort((f.astype(np.uint32) << 16) | of) if short else np.sort((f << 40) | of)  # by feature, then passage; short keys sort fast
+    by_f, of = (key >> 16, key & np.uint32(0xFFFF)) if short else (key >> 40, key & ((1 << 40) - 1))
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    tf, key = np.diff(np.append(new, len(key))), key[new]
-    norm2 = np.bincount(key >> BITS, weights=(tf * idf[key & (FEATURES - 1)]) ** 2, minlength=len(place))
+    tf = np.diff(np.append(new, len(key)))
+    norm2 = np.bincount(of[new], weights=(tf * idf[by_f[new]]) ** 2, minlength=len(place))
     y = _projected(f, place, ends, scaled, WIDTH)
     y *= np.divide(1, norm2, out=np.zeros(len(place)), where=norm2 > 0)[:, None].astype(np.float32)
-    order = np.argsort(f.astype(np.uint16), kind="stable")
-    order = order[idf[f[order]] > 0]
-    _add_rows(out, f[order], of[order], y)
+    known = idf[by_f] > 0
+    _add_rows(out, by_f[known].astype(np.int64), of[known].astype(np.int64), y)
 
 
 def _multiplied(rows: DataFrame, weights, q: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
@@ -162,8 +169,7 @@ def _multiplied(rows: DataFrame, weights, q: list[np.ndarray]) -> list[tuple[np.
         from pyspark import TaskContext
 
         out, idf = np.zeros((FEATURES, size), np.float32), weights.value
-        scaled = np.concatenate([*basis.value, np.zeros((1, size), np.float16)]).astype(np.float32)
-        scaled[:FEATURES] *= idf[:, None]
+        scaled = _times(np.concatenate(basis.value), idf)
         for batch in batches:
             for f, first in _read(batch):
                 _product(out, f, first, idf, scaled)
@@ -243,8 +249,16 @@ def _orthogonal(gram: np.ndarray) -> np.ndarray:
 
 def _scaled(shared) -> np.ndarray:
     """Rows of the space times idf, and a row of zeros for places that hold no word."""
-    space, idf = shared.value
-    return np.concatenate((space.astype(np.float32) * idf[:, None], np.zeros((1, space.shape[1]), np.float32)))
+    return _times(*shared.value)
+
+
+def _times(halves: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of half precision times idf, and a row of zeros, as float32; looked up, as NumPy converts halves one by one."""
+    wide = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
+    out = np.zeros((len(halves) + 1, halves.shape[1]), np.float32)
+    for a in range(0, len(halves), 1024):  # few enough for the cache
+        np.multiply(wide.take(halves[a : a + 1024].view(np.uint16)), idf[a : a + 1024, None], out=out[a : a + 1024][: len(halves) - a])
+    return out
 
 
 def _projected(features: np.ndarray, place: np.ndarray, ends: np.ndarray, scaled: np.ndarray, width: int) -> np.ndarray:
@@ -252,10 +266,12 @@ def _projected(features: np.ndarray, place: np.ndarray, ends: np.ndarray, scaled
     out = np.empty((len(place), scaled.shape[1]), np.float32)
     ones = np.ones((1, width), np.float32)
     part = max(1, 2048 // width)
+    held = np.empty((part * width, scaled.shape[1]), np.float32)
     for a in range(0, len(place), part):  # few enough for the cache
         at = place[a : a + part, None] + np.arange(width)
-        rows = np.where(at < ends[a : a + part, None], features.take(at, mode="clip"), FEATURES)
-        out[a : a + part] = np.matmul(ones, scaled.take(rows.reshape(-1), axis=0).reshape(-1, width, scaled.shape[1]))[:, 0]
+        rows = np.where(at < ends[a : a + part, None], features.take(at, mode="clip"), FEATURES).reshape(-1)
+        x = scaled.take(rows, axis=0, out=held[: len(rows)], mode="clip")
+        np.matmul(ones, x.reshape(-1, width, scaled.shape[1]), out=out[a : a + part, None])
     return out
 
 
@@ -273,11 +289,9 @@ def common_subsequence(item: dict, size: int, words: list) -> int:
     """Length of the longest common subsequence; item maps a word to the bit set of its places among size words."""
     full = (1 << size) - 1
     v = full
-    for w in words:
-        m = item.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, map(item.get, words)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return size - bin(v).count("1")
 
 
@@ -373,13 +387,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, sh
             found: dict = {}
             if len(place):
                 sums = _projected(_feature(hashes), place, first[owner + 1], scaled, STEP)
-                pair = np.flatnonzero(owner[1:] == owner[:-1])
-                sums[pair] += sums[pair + 1]
+                ends_text = np.flatnonzero(owner[1:] != owner[:-1])
+                alone = sums[ends_text]
+                sums[:-1] += sums[1:]
+                sums[ends_text] = alone  # the last step of a text has no next one
                 vectors = _unit_rows(sums)
                 for number, b in enumerate(blocks):
                     ids, matrix, words, answers, limits, needed, mark = loaded(number, b)
                     p, s = _near(vectors, matrix, limits)
-                    order = np.lexsort((p, s, owner[p]))
+                    order = np.argsort(owner[p] * len(ids) + s, kind="stable")  # by text, segment and passage
                     p, s = p[order], s[order]
                     # runs of near passages of one text and segment
                     size = np.array([len(x) for x in words], np.int64)
@@ -390,7 +406,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, sh
                     ks, os = s[cut], owner[p[cut]]
                     starts = np.maximum(first[os], place[p[cut]] - size[ks])
                     ends = np.minimum(first[os + 1], place[p[last]] + WIDTH + size[ks])
-                    able = _able(hashes, starts, ends, ks, size, needed, mark)
+                    able = np.flatnonzero(_may_hold(hashes, first, place, os, starts, ends, ks, size, needed, mark))
+                    able = able[_able(hashes, starts[able], ends[able], ks[able], size, needed, mark)]
                     for k, o, x, y, a, z in zip(*(v[able].tolist() for v in (ks, os, cut, last, starts, ends)), strict=True):
                         n, low = int(size[k]), int(first[o])
                         region = hashes[a:z].tolist()
@@ -400,6 +417,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, sh
                         if sum(map(set(region).__contains__, words[k])) < needed[k]:
                             continue  # no common subsequence is long enough
                         lcs, there = _best_region(own, n, region, needed[k])
+                        if lcs < min(share, paraphrase) * n:
+                            continue
                         has = bool(answers[k]) and common_subsequence(answer, len(answers[k]), region) >= 0.8 * len(answers[k])
                         what = "copy" if lcs >= max(share * n, min(n, 8)) else "paraphrase" if has and n >= 12 and lcs >= paraphrase * n else None
                         if what:
@@ -436,6 +455,48 @@ def _mark(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - _MARK_BITS)).astype(np.int32)
 
 
+def _may_hold(hashes, first, place, os, starts, ends, ks, size, needed, marks, part: int = 1 << 21) -> np.ndarray:
+    """Runs that _able may find: counts of marked words of whole steps (place) of all segments at once, summed over the steps that a window can touch, are no smaller than its own."""
+    out = np.ones(len(ks), bool)
+    many = len(size)
+    if not len(ks) or int((ends - starts).sum()) * 256 < len(hashes) * many:  # dearer than to look at the runs' words
+        return out
+    table = np.zeros(((1 << _MARK_BITS) + 1, many), np.uint8)
+    table[:-1] = marks.reshape(many, -1).T
+    short = _mark(hashes)
+    stop = np.append(place[1:], len(hashes))
+    base = np.searchsorted(place, first)  # the first step of each text, and the end
+    low = base[os] + (starts - first[os]) // STEP
+    high = base[os] + (ends - 1 - first[os]) // STEP + 1
+    i = 0
+    while i < len(ks):  # runs come by text; texts of so many steps that the counts stay in the cache
+        a = base[os[i]]
+        text = max(int(os[i]) + 1, int(np.searchsorted(base, a + part // many, "right")) - 1)
+        j, z = int(np.searchsorted(os, text)), base[min(text, len(base) - 1)]
+        if (z - a) * many <= 32 * part:  # else a very long text, whose runs are all looked at
+            counts = np.empty((z - a, many), np.uint8)
+            for b in range(a, z, 128):
+                at = place[b : min(b + 128, z), None] + np.arange(STEP)
+                rows = np.where(at < stop[b : min(b + 128, z), None], short.take(at, mode="clip"), 1 << _MARK_BITS)
+                x = table.take(rows.reshape(-1), axis=0).reshape(-1, STEP, many)
+                while x.shape[1] > 1:  # halves together, so that long rows are added
+                    x = x[:, : x.shape[1] // 2] + x[:, x.shape[1] // 2 :]
+                counts[b - a : b - a + len(rows)] = x[:, 0]
+            n = (high - low)[i:j]
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) + np.repeat(low[i:j] - a - begin, n)
+            sums = np.concatenate(([0], np.cumsum(counts.reshape(-1).take(at * many + np.repeat(ks[i:j], n)), dtype=np.int64)))
+            m = size[ks[i:j]]
+            touched = (np.maximum(12, m + m // 2) + STEP - 2) // STEP + 1
+            windows = np.maximum(1, n - touched + 1)
+            run = np.repeat(np.arange(j - i), windows)
+            at = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+            most = sums[begin[run] + np.minimum(at + touched[run], n[run])] - sums[begin[run] + at]
+            out[i:j] = np.maximum.reduceat(most, np.cumsum(windows) - windows) >= needed[ks[i:j]]
+        i = j
+    return out
+
+
 def _able(hashes, starts, ends, ks, size, needed, marks, part: int = 200_000) -> np.ndarray:
     """Runs in which some window of _best_region has as many marked words as the common subsequence needs."""
     out = np.zeros(len(ks), bool)
